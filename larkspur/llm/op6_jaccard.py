@@ -38,7 +38,7 @@ from .common import FOLD, materialize, slices, table, utf8
 from .graph import components
 
 SHINGLE, PERCENT, NEAR_SHINGLE, NEAR_PERCENT = 3, 90, 5, 80
-CHUNK, PIECE = 8 << 20, 2 << 20
+CHUNK, PIECE = 4 << 20, 2 << 20
 RANGE_CHARS, SETS_A_CHUNK, TASK_TOKENS, MOST_TOKENS = 16 << 20, 4096, 1 << 21, 1 << 22
 
 _FOLD = np.frombuffer(FOLD, np.uint8)

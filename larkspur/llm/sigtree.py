@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-FANOUT, FRONTIER = 8, 1 << 15
+FANOUT, FRONTIER_BYTES = 8, 8 << 20
 
 
 @dataclass
@@ -85,12 +85,13 @@ def candidates(a: Tree, b: Tree, percent: int):
     same = a is b
     if not len(a.levels[0].least) or not len(b.levels[0].least):
         return
+    most = max(64, FRONTIER_BYTES // a.levels[0].bits.shape[1] // 8)  # pairs whose bitmaps are compared at once
     stack = [(len(a.levels) - 1, len(b.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, i, j = stack.pop()
-        if len(i) > FRONTIER:
-            for k in range(0, len(i), FRONTIER):
-                stack.append((la, lb, i[k : k + FRONTIER], j[k : k + FRONTIER]))
+        if len(i) > most:
+            for k in range(0, len(i), most):
+                stack.append((la, lb, i[k : k + most], j[k : k + most]))
             continue
         keep = _possible(a.levels[la], i, b.levels[lb], j, percent)
         i, j = i[keep], j[keep]
