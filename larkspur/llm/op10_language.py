@@ -8,9 +8,9 @@ bytes alone, and a text's code length in every language is a sum of table entrie
 
 The language of the smallest code length wins, ties to the smaller name; score is its share of 2^-length over languages.
 
-Training rows: of the rows with text and language that the caller lets through, per language the `per_language` with the
-smallest hash of doc_id and text, whole texts of at most `train_chars` characters. This bounds the model; it is the only
-sample, and every document is scored whole.
+Training rows: of the rows with text and language that the caller lets through and whose whole texts have at most
+`train_chars` characters, about `per_language` for each language, chosen by a hash of doc_id and text. This bounds the
+model; it is the only sample, and every document is scored whole.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be learned;
 A-Z count as a-z; rows that repeat get equal results; extra columns are ignored; lang, source and doc_id of a row never
@@ -25,13 +25,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import FOLD, slices, table, utf8
 
 PER_LANGUAGE, TRAIN_CHARS, MOST_LANGUAGES, FOLDS, CHUNK = 1500, 20_000, 64, 5, 2 << 20
 UND = "und"
+MOST_BITS, LEAST_BYTES = 7.0, 200
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.frombuffer(FOLD, np.uint8)
 
@@ -174,25 +175,24 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int =
     """Fits on docs(doc_id, text, lang); the sample's counts, bounded by the parameters, are summed at the driver."""
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") <= train_chars) & (F.length("text") > 0))
-    key = F.xxhash64("doc_id", "text")
-    ranked = rows.select("lang", key.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
-    sample = ranked.filter(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("most"))
-    most = {r["lang"]: r["most"] for r in sample.orderBy("lang").limit(MOST_LANGUAGES).collect()}
-    if not most:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
         return None
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     chosen = F.lit(False)
-    for lang, h in most.items():
-        chosen = chosen | ((F.col("lang") == lang) & (key <= h))
-    sums: dict[str, dict[str, list]] = {lang: {"code": [], "n": []} for lang in most}
+    for r in counts:  # a hash's lowest part of the rows, as large as per_language is of all
+        chosen = chosen | ((F.col("lang") == r["lang"]) & (place * F.lit(r["n"]) < F.lit(per_language << 30)))
+    sums: dict[str, dict[str, list]] = {r["lang"]: {"code": [], "n": []} for r in counts}
     for row in rows.filter(chosen).select("lang", "text").mapInArrow(_count, "lang string, code binary, n binary").toLocalIterator():
         held = sums[row["lang"]]
         held["code"].append(np.frombuffer(row["code"], np.uint32))
         held["n"].append(np.frombuffer(row["n"], np.int64))
         if len(held["code"]) >= 16:
             _merge(held)
-    for held in sums.values():
+    learned = {lang: held for lang, held in sums.items() if held["code"]}
+    for held in learned.values():
         _merge(held)
-    return fit({lang: (held["code"][0], held["n"][0]) for lang, held in sums.items()})
+    return fit({lang: (held["code"][0], held["n"][0]) for lang, held in learned.items()}) if learned else None
 
 
 def _merge(held: dict[str, list]) -> None:
@@ -239,6 +239,21 @@ def identify(docs: DataFrame, model: Model | None, keep: list[Column] | None = N
     return rows.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_language(docs: DataFrame, model: Model | None, most_bits: float = MOST_BITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """The rows of docs in some language: not `und`, and no text of least_bytes or more that costs over most_bits a byte."""
+    predict = _predict(docs.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", CHUNK):
+            found = next(predict(iter([batch.select(["text"])])))
+            bits = found.column("bits_per_byte").to_numpy(zero_copy_only=False)
+            size = np.diff(utf8(batch.column("text"))[1])
+            known = np.array([x != UND for x in found.column("lang_pred").to_pylist()], bool)
+            yield batch.filter(pa.array(known & ((size < least_bytes) | (bits <= most_bits))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
 
