@@ -12,7 +12,7 @@ The benchmark is sent to the executors in blocks of rows of bounded size (`block
 alone); with more than one block, the matches of all blocks are joined per document before words are counted.
 
 Defined cases: a null or empty text has no words and no hits; a null item or one without words matches nothing; rows that
-repeat are reported for each row with one block (with more blocks, rows need distinct doc_id); an empty benchmark leaves
+repeat are reported for each row with one block (with more, `matches` needs distinct doc_ids); an empty benchmark leaves
 all documents clean; items that share an item_id count once; extra columns are ignored, and kept by `remove`.
 """
 
@@ -138,20 +138,24 @@ def longest(doc: np.ndarray, at: np.ndarray, which: np.ndarray, suffixes: Suffix
 _MATCH = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
+def _shard(batch: pa.RecordBatch, suffixes: Suffixes) -> tuple[np.ndarray, list[list[dict]]]:
+    """(words, matches) of each row of a batch, which makes up one shard."""
+    raw, off, valid = utf8(batch.column("text"))
+    whole = raw[off[0] : off[-1]].tobytes()
+    texts = [whole[a:b] if v else b"" for a, b, v in zip(off[:-1] - off[0], off[1:] - off[0], valid, strict=True)]
+    counts, begin, places, which = shard_matches(texts, suffixes)
+    doc = np.searchsorted(begin, places, "right") - 1
+    rows: list[list] = [[] for _ in texts]
+    for d, start, n, item, item_start in longest(doc, places - begin[doc], which, suffixes).tolist():
+        rows[d].append({"start": start, "n_words": n, "item_id": str(suffixes.ids[item]), "item_start": item_start})
+    return counts, rows
+
+
 def _scan(window: int, items: list[tuple]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes = test_suffixes(items, window)
-        names = [str(i) for i in suffixes.ids]
         for batch in slices(batches, "text", SHARD_BYTES):
-            raw, off, valid = utf8(batch.column("text"))
-            whole = raw[off[0] : off[-1]].tobytes()
-            texts = [whole[a:b] if v else b"" for a, b, v in zip(off[:-1] - off[0], off[1:] - off[0], valid, strict=True)]
-            counts, begin, places, which = shard_matches(texts, suffixes)
-            doc = np.searchsorted(begin, places, "right") - 1
-            spans = longest(doc, places - begin[doc], which, suffixes)
-            rows: list[list] = [[] for _ in texts]
-            for d, start, n, item, item_start in spans.tolist():
-                rows[d].append({"start": start, "n_words": n, "item_id": names[item], "item_start": item_start})
+            counts, rows = _shard(batch, suffixes)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(rows, _MATCH)], ["doc_id", "n_words", "matches"])
 
     return run
@@ -210,10 +214,20 @@ def digest(found: DataFrame) -> DataFrame:
     return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs."""
-    bad = matches(docs, benchmark, window).filter(F.size("matches") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs: a filter for each block of the benchmark."""
+
+    def clean(items: list[tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            suffixes = test_suffixes(items, window)
+            for batch in slices(batches, "text", SHARD_BYTES):
+                yield batch.filter(pa.array([not m for m in _shard(batch, suffixes)[1]], pa.bool_()))
+
+        return run
+
+    for items in blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(clean(items), docs.schema)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_topk, op3_chat, op4_decontamination, op5_surrogates, op6_jaccard, op7_warc, op8_licences, op9_mixing, op10_language
+from . import op1_topk, op2_mixing_lm, op3_chat, op4_decontamination, op5_surrogates, op6_jaccard, op7_warc, op8_licences, op9_mixing, op10_language
 
 QUERIES = {
     "op1_topk": op1_topk.op1_topk,
+    "op2_mixing_lm": op2_mixing_lm.op2_mixing_lm,
     "op3_chat": op3_chat.op3_chat,
     "op4_decontamination": op4_decontamination.op4_decontamination,
     "op5_surrogates": op5_surrogates.op5_surrogates,
