@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from larkspur import queries, stream_queries
+
+QUERIES = queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | stream_queries.ORACLE_SQL

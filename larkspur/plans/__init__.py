@@ -1,0 +1 @@
+"""Query plans: grams, and the boolean gram plans of regular expressions."""

@@ -1,0 +1 @@
+"""Sources: trees of files, git, chat stores, reports."""
