@@ -326,12 +326,12 @@ def replace(text: str, spans: list[tuple[int, int, str]], key: bytes = KEY) -> t
 _ENTITIES = "array<struct<kind: string, digest: string, surrogate: string>>"
 
 
-def _run(key: bytes):
+def _run(key: bytes, name: str):
     pairs_type = pa.list_(pa.struct([("kind", pa.string()), ("digest", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", CHUNK):
-            col = batch.column("_text")
+        for batch in slices(batches, name, CHUNK):
+            col = batch.column(name)
             kinds: dict[int, set[str]] = {}
             for sign, some in SIGNS:
                 for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(col, sign), False)).to_pylist():
@@ -353,9 +353,11 @@ def _run(key: bytes):
 def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with its text replaced, and the column _entities: type, keyed digest and surrogate of each, in order."""
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("_text"))
+    if "_entities" in docs.columns:
+        raise ValueError("a column _entities is there already")
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    out = rows.mapInArrow(_run(key), f"{schema}, _entities {_ENTITIES}").withColumnRenamed("_text", "text")
+    out = rows.mapInArrow(_run(key, "text"), f"{schema}, _entities {_ENTITIES}")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_entities")
 
 

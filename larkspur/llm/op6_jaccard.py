@@ -344,20 +344,22 @@ def link(sets: DataFrame, grouped: DataFrame, percent: int, most_tokens: int = M
     tasks = max(1, -(-total // TASK_TOKENS))
     bucket = F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int")
     some = not large.isEmpty()
-    small = held.join(large, held["root"] == large["big"], "left_anti") if some else held
+    small = held.join(large, F.col("root") == F.col("big"), "left_anti") if some else held
     stars = small.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_link_groups(percent), "u long, v long")
     if not some:
         return materialize(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "jaccard-links")
     run = Window.partitionBy("root").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = held.join(large, held["root"] == large["big"], "left_semi").select("set_id", "n", "root")
+    cut = held.join(large, F.col("root") == F.col("big"), "left_semi").select("set_id", "n", "root")
     cut = cut.withColumn("block", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / (most_tokens // 2)).cast("int"))
     cut = materialize(cut, "jaccard-blocks")
     blocks = cut.groupBy("root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     first, second = (blocks.select("root", F.col("block").alias(b), F.col("least").alias(f"least_{b}"), F.col("most").alias(f"most_{b}")) for b in "ij")
-    pairs = first.join(second, "root").filter((F.col("i") <= F.col("j")) & (F.col("most_i") * 100 >= F.col("least_j") * percent)).select("root", "i", "j")
-    left = cut.join(pairs, (cut["root"] == pairs["root"]) & (cut["block"] == pairs["i"])).select(cut["set_id"], cut["root"], "i", "j", F.lit(0).alias("side"))
-    right = cut.join(pairs, (cut["root"] == pairs["root"]) & (cut["block"] == pairs["j"]) & (pairs["i"] < pairs["j"])).select(cut["set_id"], cut["root"], "i", "j", F.lit(1).alias("side"))
-    met = left.unionByName(right).join(held.select("set_id", "tokens"), "set_id")
+    near = (F.col("i") <= F.col("j")) & (F.col("most_i") * 100 >= F.col("least_j") * percent)
+    pairs = materialize(first.join(second, "root").filter(near).select(F.col("root").alias("of"), "i", "j"), "jaccard-pairs")
+    of, block = F.col("root") == F.col("of"), F.col("block")
+    left = cut.join(pairs, of & (block == F.col("i"))).withColumn("side", F.lit(0))
+    right = cut.join(pairs, of & (block == F.col("j")) & (F.col("i") < F.col("j"))).withColumn("side", F.lit(1))
+    met = left.unionByName(right).select("set_id", "root", "i", "j", "side").join(held.select("set_id", "tokens"), "set_id")
     across = met.groupBy("root", "i", "j").applyInArrow(_link_blocks(percent), "u long, v long")
     return components(stars.unionByName(across))
 
