@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as fn
+from larkspur.operators.lineage import cut
 
 CALLABLE = ["function", "method", "class", "struct"]
 SELF = ["self", "Self", "this", "crate", "super"]
@@ -232,7 +233,7 @@ def trace(edges: DataFrame, source, target, most: int = 8) -> DataFrame:
             break
         near = level.join(way, level["id"] == way["src"]).groupBy("dst").agg(F.min("path").alias("path"))
         new = near.join(seen.select(F.col("id").alias("k")), F.col("dst") == F.col("k"), "left_anti").select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        new = new.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else new.cache()
+        new = cut(new)
         if new.isEmpty():
             break
         level, seen = new, seen.select("id").unionByName(new.select("id"))
@@ -284,7 +285,7 @@ def processes(edges: DataFrame, entries: DataFrame, most: int = 100, depth: int
         for s, d, t in sorted(zip(pdf["src"], pdf["dst"], pdf["tier"], strict=True), key=lambda e: (e[0], e[2] != "exact", e[1])):
             near.setdefault(s, []).append((t, d))
         steps = walk(entry, near, depth, branches)
-        return pd.DataFrame({"entry": entry, "steps": [steps] if len(steps) >= least else []})
+        return pd.DataFrame([(entry, steps)] if len(steps) >= least else [], columns=["entry", "steps"], dtype=object)
 
     walks = own.groupBy("entry").applyInPandas(run, f"entry {kind}, steps array<{kind}>").join(top, "entry")
     first = Window.partitionBy(F.array_sort("steps")).orderBy(F.desc("out_degree"), "entry")
@@ -323,7 +324,7 @@ def connected(edges: DataFrame, rounds: int = 40) -> DataFrame:
         step = now.join(near, F.col("id") == F.col("src"), "left").select("id", F.least("root", "m").alias("root"))
         jump = step.select(F.col("id").alias("k"), F.col("root").alias("far"))
         now = step.join(jump, F.col("root") == F.col("k")).select("id", F.col("far").alias("root"))
-        now = now.checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else now.cache()
+        now = cut(now)
         mark = now.agg(F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first()[0]
         if mark == last:
             return now

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,13 +201,9 @@ def chunks(turns: DataFrame, width: int = 1500, overlap: int = 200) -> DataFrame
 
 def stub_embedder(dims: int = 16):
     """A deterministic embedder for tests and for places without a model: hashed character trigrams, unit length."""
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        import zlib
-
         def one(t):
             v = np.zeros(dims)
             for i in range(max(0, len(t or "") - 2)):

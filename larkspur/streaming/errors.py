@@ -69,11 +69,16 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", delay: str = "1
     return event_time(changes, delay=delay).groupBy(F.session_window("at", gap).alias("w"), "path").agg(F.max_by("removed", "ts").alias("removed"), F.count("*").alias("n")).select("path", F.col("w.start").alias("start"), "removed", "n")
 
 
-def correlate(errors: DataFrame, events: DataFrame, window: str = "30 seconds", delay: str = "10 minutes") -> DataFrame:
-    """error_id, event_id of two streams whose times are at most a window apart; both watermarks bound the state."""
-    e = event_time(errors.select(F.col("id").alias("error_id"), "ts"), delay=delay).withColumnRenamed("at", "e_at").drop("ts")
-    v = event_time(events.select(F.col("id").alias("event_id"), "ts"), delay=delay).withColumnRenamed("at", "v_at").drop("ts")
-    return e.join(v, F.expr(f"v_at >= e_at - INTERVAL {window} AND v_at <= e_at + INTERVAL {window}")).select("error_id", "event_id")
+def correlate(errors: DataFrame, events: DataFrame, window_ms: int = 30_000, delay: str = "10 minutes") -> DataFrame:
+    """error_id, event_id of two streams whose times are at most a window apart; both watermarks bound the state.
+
+    Streams join on equality: both sides fall into slots of the window's width, an error into its neighbours' too."""
+    slot = F.floor(F.col("ts") / window_ms)
+    e = event_time(errors.select(F.col("id").alias("error_id"), "ts", F.explode(F.sequence(slot - 1, slot + 1)).alias("slot")), delay=delay).withColumnRenamed("at", "e_at").drop("ts")
+    v = event_time(events.select(F.col("id").alias("event_id"), "ts", slot.alias("slot")), delay=delay).withColumnRenamed("at", "v_at").drop("ts")
+    apart = F.make_dt_interval(secs=F.lit(window_ms / 1000).cast("decimal(18,6)"))
+    near = (F.col("v_at") >= F.col("e_at") - apart) & (F.col("v_at") <= F.col("e_at") + apart)
+    return e.join(v, (e["slot"] == v["slot"]) & near).select("error_id", "event_id")
 
 
 def upsert(rows: DataFrame, path: str, key: str, checkpoint: str):

@@ -141,7 +141,7 @@ def test_service(service):
     assert rows["a.ts"] == "P0" and "b.ts" in rows
     text, layer, left = service.context("greet", 2000)
     assert layer == "L2" and left == 0 and "export function greet()" in text
-    small = service.context("greet", 12)
+    small = service.context("greet", 7)
     assert small[1] == "L0" and small[2] > 0 and "elided" in small[0]
     assert service.search("greet").rows.count() == 4 and service.status()["files"] == len(FILES)
     assert service.processes().count() >= 0
