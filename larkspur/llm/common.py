@@ -32,12 +32,16 @@ def fold(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='larkspur-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not _own:
+            _own.append(f"file://{tempfile.mkdtemp(prefix='larkspur-')}")
+        path = _own[0]
     return path.rstrip("/")
 
 

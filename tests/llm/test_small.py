@@ -48,7 +48,7 @@ def brute_topk(rows, k):
 
 def test_topk_matches_brute_force(spark):
     vectors = [(i, [rng.randint(-9, 9) / 8 for _ in range(6)]) for i in range(60)]
-    vectors += [(60 + i, list(vectors[0][1])) for i in range(20)] + [(90, None), (91, [1.0, None, 0, 0, 0, 0]), (92, [float("nan")] * 6), (93, [1.0, 2.0]), vectors[3], (94, [float("inf")] * 6)]
+    vectors += [(60 + i, list(vectors[0][1])) for i in range(20)] + [(90, None), (91, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (92, [float("nan")] * 6), (93, [1.0, 2.0]), vectors[3], (94, [float("inf")] * 6)]
     df = spark.createDataFrame([(i, v, 7) for i, v in vectors], "vec_id long, embedding array<float>, rank int")
     q = op1_topk.quantised(df)
     got = {}
@@ -100,24 +100,31 @@ def test_lm_base_and_score(spark):
     assert all(r.score < 0 and abs(r.score + r.bits * np.log10(2)) < 1e-6 for r in got)
     new = [r for r in got if r.held_out and r.n_bytes > 200]
     assert new and all(r.bits / r.n_bytes < 5 for r in new)  # far below 8 bits a byte
-    assert sum(r.score for r in new) > sum(r.base_score for r in new)
+
+
+def lm_model():
+    raw = np.frombuffer(prose(3000).encode(), np.uint8).astype(np.int64)
+    code = op2_mixing_lm.Code(np.bincount(raw[:-1] * 257 + raw[1:], minlength=256 * 257))
+    return code, [np.random.RandomState(1).randint(-60, 60, 1 << b).astype(np.int8) for b in op2_mixing_lm.BITS]
+
+
+def test_lm_codes_are_complete():
+    code, _ = lm_model()
+    assert np.allclose((2.0 ** -code.length.astype(float)).reshape(256, 257).sum(1), 1)
 
 
 def test_lm_probabilities_add_up():
     """Over all symbols that can follow, the chances that the coder gives are a distribution."""
-    code = op2_mixing_lm.Code(np.bincount(np.frombuffer(prose(500).encode(), np.uint8), minlength=257))
-    assert abs(sum(2.0 ** -int(n) for n in code.length) - 1) < 1e-9
-    rs = np.random.RandomState(1)
-    predictors = [rs.randn(1 << b).astype(np.float32) for b in op2_mixing_lm.BITS]
-    head = np.frombuffer(b"some text", np.uint8).astype(np.uint16)
-    before = op2_mixing_lm.code_lengths(head, np.array([0]), code, predictors)[0]
-    total = sum(2.0 ** -(op2_mixing_lm.code_lengths(np.append(head, s).astype(np.uint16), np.array([0]), code, predictors)[0] - before) for s in range(257))
-    assert abs(total - 1) < 1e-3
+    code, predictors = lm_model()
+    for text in (b"", b"some text", b"x " * 40):
+        head = np.frombuffer(text, np.uint8).astype(np.uint16)
+        before = op2_mixing_lm.code_lengths(head, np.array([0]), code, predictors)[0] if text else 0
+        total = sum(2.0 ** -(op2_mixing_lm.code_lengths(np.append(head, s).astype(np.uint16), np.array([0]), code, predictors)[0] - before) for s in range(257))
+        assert abs(total - 1) < 1e-3
 
 
 def test_lm_score_does_not_depend_on_neighbours():
-    code = op2_mixing_lm.Code(np.ones(257))
-    predictors = [np.random.RandomState(2).randn(1 << b).astype(np.float32) for b in op2_mixing_lm.BITS]
+    code, predictors = lm_model()
     texts = [prose(n) for n in (3, 900, 50, 2000)] + ["", prose(30000)]
     one = []
     for t in texts:
@@ -128,6 +135,12 @@ def test_lm_score_does_not_depend_on_neighbours():
     assert np.allclose(one, both, rtol=1e-5)
 
 
+def test_lm_held_out_bits(spark, data):
+    """From few documents a byte of new ones costs less than half of what it takes."""
+    got = [r for r in op2_mixing_lm.op2_mixing_lm(spark, data).collect() if r.held_out]
+    assert sum(r.bits for r in got) < 3 * sum(r.n_bytes for r in got)
+
+
 def test_lm_empty_table(spark):
     assert op2_mixing_lm.score(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).collect() == []
 
