@@ -91,11 +91,11 @@ def _taken(blocked: DataFrame, drawn: DataFrame) -> DataFrame:
     within = Window.partitionBy("skey", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     cut = marked.filter(~F.col("whole") & (F.col("part") > 0)).withColumn("run", F.sum("size").over(within) - F.col("size"))
     cut = cut.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("run")))).drop("run")
-    return whole.unionByName(cut).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
+    return whole.unionByName(cut)
 
 
 def plan(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents with target and taken words, drawn blocks)."""
+    """(documents with target and extra words, drawn blocks)."""
     rows = materialize(sized(docs), "mix-sizes")
     sources = materialize(targets(rows, cap, block_docs).coalesce(1), "mix-sources")
     blocked = _blocked(rows, sources, seed)
@@ -120,24 +120,37 @@ def tickets(drawn: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFra
     return deal.join(quota, ["skey", "k"]).select("skey", "block", "pass", "shard")
 
 
-def mix(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target (of the source), taken (words, repeats counted), copies (draws of the document)."""
-    rows, _ = plan(docs, cap, block_docs, seed)
-    copies = F.col("passes") + (F.col("extra") > 0).cast("int")
-    return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), copies.alias("copies"))
+def dealt(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The documents with draws (pass, taken_words, shard): an entry for each ticket of the document's block in a shard.
+
+    A document of no words goes along with its block's whole passes; the partial pass has only documents it takes words of."""
+    rows, drawn = plan(docs, cap, block_docs, seed)
+    out = materialize(tickets(drawn, shards, seed), "mix-tickets").filter(F.col("shard").isNotNull())
+    of_block = out.groupBy("skey", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("tickets"))
+    words = lambda t: F.when(t["pass"] < F.col("passes"), F.col("size")).otherwise(F.col("extra")).cast("long")
+    draws = F.transform("tickets", lambda t: F.struct(t["pass"].alias("pass"), words(t).alias("taken_words"), t["shard"].alias("shard")))
+    draws = F.filter(draws, lambda d: (d["pass"] < F.col("passes")) | (d["taken_words"] > 0))
+    none = F.array().cast("array<struct<pass:int,taken_words:bigint,shard:int>>")
+    return rows.join(of_block, ["skey", "block"], "left").withColumn("draws", F.coalesce(draws, none)).drop("tickets")
+
+
+def mix(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target (of the source), taken (words, repeats counted), copies (draws of the document).
+
+    taken and copies are counted from the draws that were dealt to the shards."""
+    rows = dealt(docs, cap, block_docs, shards, seed)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, d: n + d["taken_words"])
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("copies"))
 
 
 def draw(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mix itself: a row of docs for each draw, with pass, taken_words, shard and place (the order within the shard).
 
     Documents of no words are not drawn. Rows that repeat a doc_id are drawn alike."""
-    rows, drawn = plan(docs, cap, block_docs, seed)
-    dealt = materialize(tickets(drawn, shards, seed), "mix-tickets")
-    each = rows.dropDuplicates(["doc_id", "skey"]).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    each = each.withColumn("taken_words", F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(F.col("extra")).cast("long"))
-    each = each.filter(F.col("taken_words") > 0).join(dealt, ["skey", "block", "pass"], "left")
+    rows = dealt(docs, cap, block_docs, shards, seed)
+    each = rows.dropDuplicates(["doc_id", "skey"]).select("doc_id", "skey", F.inline("draws")).filter(F.col("taken_words") > 0)
     place = F.xxhash64(F.lit(seed + 7), "doc_id", "pass")
-    chosen = each.select(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_key"), "pass", "taken_words", F.coalesce("shard", F.lit(0)).alias("shard"), place.alias("place"))
+    chosen = each.select(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_key"), "pass", "taken_words", "shard", place.alias("place"))
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     clash = {c: f"{c}_in" for c in ("pass", "taken_words", "shard", "place", "mix_id", "mix_key") if c in docs.columns}
     docs = docs.withColumnsRenamed(clash)

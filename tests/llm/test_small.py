@@ -478,6 +478,21 @@ def test_mixing_draw(spark):
     assert op9_mixing.mix(df.limit(0)).count() == 0 and op9_mixing.draw(df.limit(0)).count() == 0
 
 
+def test_mixing_rows_come_from_the_deal(spark, monkeypatch):
+    df = table(spark, [prose(rng.randint(1, 60)) for _ in range(200)] + ["", None])
+    full = {r.doc_id: (r.taken, r.copies) for r in op9_mixing.mix(df, block_docs=8).collect()}
+    deal = op9_mixing.tickets
+    monkeypatch.setattr(op9_mixing, "tickets", lambda *a, **b: deal(*a, **b).filter("shard % 2 = 0"))
+    half = {r.doc_id: (r.taken, r.copies) for r in op9_mixing.mix(df, block_docs=8).collect()}
+    drawn = {}
+    for r in op9_mixing.draw(df, block_docs=8).collect():
+        assert r.shard % 2 == 0
+        drawn[r.doc_id] = drawn.get(r.doc_id, 0) + r.taken_words
+    assert {d: n for d, (n, _) in half.items() if n} == drawn
+    assert all(half[d][0] <= full[d][0] and half[d][1] <= full[d][1] for d in full)
+    assert 0 < sum(n for n, _ in half.values()) < sum(n for n, _ in full.values())
+
+
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 
