@@ -1,7 +1,9 @@
 """Licence scan: an exact set-similarity join of text blocks with licence templates; DataFrame operations only.
 
-A block is a line of a text, or of a longer line each window of 64 words, 32 apart. A template matches a block if the
-block holds at least `threshold` of its distinct words. Words are ordered by their number of documents, rarest first, over
+A block is a line of a text, or of a longer line each window of 64 words, 32 apart; and so is each such window of the whole
+text's words, whatever lines they stand on, so that a notice wrapped over lines is found. A template matches a block if the
+block holds at least `threshold` of its distinct words; in a block that runs over line ends, as many must also stand in the
+template's order, since words of unrelated lines (German "mit" near another licence) make no notice. Words are ordered by their number of documents, rarest first, over
 the whole corpus. Then
 
 * prefix filter: a matching block holds one of the first |T| - need + 1 words of template T;
@@ -71,7 +73,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
 
     base = _base(kept, phrases)
     order = _by_frequency(kept, vocabulary)
-    found = _join(kept, sets, order, threshold)
+    found = _join(kept, templates, sets, order, threshold)
     out = base.join(found, (base["doc_id"].eqNullSafe(found["of"])) & (base["h"] == found["of_h"]), "left")
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base", F.coalesce("own", none)))
@@ -118,28 +120,43 @@ def _by_frequency(kept: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def _join(kept: DataFrame, sets, order: list[str], threshold: float) -> DataFrame:
+def _in_order(words: str, notice: str):
+    """Length of the longest common subsequence; row[j] is that of the words so far and the notice's first j."""
+
+    def step(row, w):
+        met = lambda i: F.when((i > 0) & (F.get(notice, i - 1) == w), F.get(row, i - 1) + 1).otherwise(F.get(row, i))
+        return F.transform(row, lambda _, j: F.array_max(F.transform(F.sequence(F.lit(0), j), met)))
+
+    return F.element_at(F.aggregate(words, F.array_repeat(F.lit(0), F.size(notice) + 1), step), -1)
+
+
+def _join(kept: DataFrame, templates, sets, order: list[str], threshold: float) -> DataFrame:
     """of, of_h, own (labels), best (containment) of rows in which a template matches."""
     spark, place = kept.sparkSession, {w: i for i, w in enumerate(order)}
     prefix, whole = [], []
     for i, label, s in sets:
         ranked, need = sorted(s, key=place.get), _need(len(s), threshold)
-        whole.append((i, label, ranked, len(ranked), need))
+        whole.append((i, label, ranked, len(ranked), need, templates[i][1].split()))
         prefix += [(w, i, at) for at, w in enumerate(ranked[: len(ranked) - need + 1], 1)]
     index = spark.createDataFrame(prefix, "word string, template int, at int")
-    full = spark.createDataFrame(whole, "template int, label string, ranked array<string>, size int, need int")
-    least = min((need for *_, need in whole), default=1)
-    lines = kept.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select("of", "of_h", words_of(F.col("line")).alias("line"))
+    full = spark.createDataFrame(whole, "template int, label string, ranked array<string>, size int, need int, notice array<string>")
+    least = min((need for *_, need, _ in whole), default=1)
+    texts = kept.filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "text")
+    lines = texts.select("of", "of_h", F.explode(F.split("text", "\n")).alias("line"), F.lit(False).alias("over"))
+    lines = lines.unionByName(texts.filter(F.contains("text", F.lit("\n"))).select("of", "of_h", F.col("text").alias("line"), F.lit(True).alias("over")))
+    words = lines.select("of", "of_h", "over", words_of(F.col("line")).alias("line"))
     long = F.size("line") > BLOCK
     starts = F.when(long, F.sequence(F.lit(1), F.greatest(F.size("line") - (BLOCK - STEP), F.lit(1)), F.lit(STEP))).otherwise(F.array(F.lit(1)))
     blocks = words.filter(F.size("line") >= least).withColumn("start", F.explode(starts))
-    blocks = blocks.select("of", "of_h", F.array_intersect(_strings(order), F.slice("line", F.col("start"), F.lit(BLOCK))).alias("block")).filter(F.size("block") >= least)
+    blocks = blocks.select("of", "of_h", "over", F.slice("line", F.col("start"), F.lit(BLOCK)).alias("window"))
+    known = F.filter("window", lambda w: F.array_contains(_strings(order), w))
+    blocks = blocks.select("of", "of_h", F.when(F.col("over"), known).alias("run"), F.array_intersect(_strings(order), "window").alias("block")).filter(F.size("block") >= least)
     pairs = blocks.select("*", F.posexplode("block").alias("j", "word")).join(F.broadcast(index), "word").withColumn("j", F.col("j") + 1)
     # The first shared word decides: later ones of the same pair add nothing.
     pairs = pairs.join(F.broadcast(full), "template").filter((F.size("block") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("at"), F.size("block") - F.col("j")) >= F.col("need")))
     shared = F.size(F.array_intersect("ranked", "block"))
     met = pairs.withColumn("shared", shared).filter(F.col("shared") >= F.col("need"))
+    met = met.filter(F.col("run").isNull() | (_in_order("run", "notice") >= F.col("need")))
     return met.groupBy("of", "of_h").agg(F.collect_set("label").alias("own"), F.max(F.col("shared") / F.col("size")).alias("best"))
 
 

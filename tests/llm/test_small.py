@@ -421,6 +421,21 @@ def test_licences(spark):
     assert op8_licences.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_over_line_ends(spark):
+    wrapped = [
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"),
+        ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"),
+        ("gpl", "# you can redistribute it and/or modify\r\n# it under the terms of the GNU General Public License as published by\r\n# the Free Software Foundation"),
+        ("mpl", "// This Source Code Form is subject to the terms of the Mozilla\n// Public License, v. 2.0."),
+    ]
+    texts = [t for _, t in wrapped] + [prose(n) + "\n" + t + "\n" + prose(500) for n in (31, 45, 64, 1000) for _, t in wrapped]
+    texts.append("Redistribution and use in source and binary forms\n" + "zzz\n" * 70 + "with or without modification, are permitted provided that the following conditions are met")
+    texts.append("ich mit dir\nzu\nLicensed under the Apache License, Version 2.0.")
+    got = {r.doc_id: r for r in op8_licences.scan(table(spark, texts), phrases=[]).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [label for label, _ in wrapped] * 5 + ["", "apache"]
+    assert all(got[i].score >= 0.8 for i in range(20)) and got[20].score == 0
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------------
 
 
