@@ -13,8 +13,9 @@ trees of `sigtree`; the steps before only bring together what could link, and no
    Sets under one shingle are linked with the least of them, a star and not all pairs; the stars' components are groups.
 3. A group's sets are joined by dual traversal of their signature tree, groups together in tasks of bounded size; a group
    beyond `most_tokens` is cut into blocks by size of set, and each pair of blocks that sizes allow joins two trees.
-   A traversal skips pairs that are already connected, so a group of near copies costs few comparisons.
-4. Links become components with the smallest doc_id as their name.
+   Every pair is decided. A task gives each set's number of links, weighted by the documents of the sets it links with, and a
+   star for each component of its links, so a group of near copies costs comparisons but not a row for each pair.
+4. Links become components with the smallest doc_id as their name; a document links with all others of its own set, too.
 
 Defined cases: a null text or one without words has an empty set, links with nothing, and is a component of its own; rows
 that repeat a doc_id take part each and are one document to `keep_one`; a null doc_id takes part and names a component only
@@ -294,27 +295,40 @@ def groups(sets: DataFrame, percent: int) -> DataFrame:
 # 3. Signature trees -------------------------------------------------------------------------------------------------------
 
 
-def _star(ids: list[int], found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    forest = sigtree.Forest(len(ids))
+def _found(ids: list[int], weight: np.ndarray, a: np.ndarray, b: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Rows (u, v, links) of the sets at places a, and b if given: a star for each component (u, v), and each set's links (u)."""
+    right = a if b is None else b
+    forest, count = sigtree.Forest(len(ids)), np.zeros(len(ids), np.int64)
     order = np.argsort(ids)
     rank = np.argsort(order)
-    for x, y in found:
-        forest.join(int(rank[x]), int(rank[y]))
+    for x, y in sigtree.every_link([sets[i] for i in a], None if b is None else [sets[i] for i in b], percent):
+        x, y = int(a[x]), right[y]
+        count[x] += weight[y].sum()
+        count[y] += weight[x]
+        root = forest.find(int(rank[x]))
+        apart = forest.up[rank[y]] != root
+        if any([forest.join(int(rank[x]), z) for z in rank[y[apart]].tolist()]):
+            forest.flat()
     label = forest.flat()
-    return [(ids[order[i]], ids[order[r]]) for i, r in enumerate(label.tolist()) if i != r]
+    stars = [(ids[order[i]], ids[order[r]], None) for i, r in enumerate(label.tolist()) if i != r]
+    return stars + [(ids[i], None, n) for i, n in enumerate(count.tolist()) if n]
+
+
+def _link_rows(out: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([row[i] for row in out], pa.int64()) for i in range(3)], names=["u", "v", "links"])
 
 
 def _link_groups(percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids, sets = _read(group)
-        root = np.array(group["root"].to_pylist())
+        root, weight = np.array(group["root"].to_pylist()), np.array(group["copies"].to_pylist(), np.int64)
         order = np.argsort(root, kind="stable")
         ends = np.flatnonzero(np.concatenate([[True], root[order][1:] != root[order][:-1], [True]]))
         out = []
         for a, b in zip(ends[:-1], ends[1:], strict=True):
             own = order[a:b]
-            out += _star([ids[i] for i in own], sigtree.links([sets[i] for i in own], None, percent))
-        return pa.table([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+            out += _found([ids[i] for i in own], weight[own], np.arange(len(own)), None, [sets[i] for i in own], percent)
+        return _link_rows(out)
 
     return run
 
@@ -322,22 +336,25 @@ def _link_groups(percent: int):
 def _link_blocks(percent: int):
     def run(group: pa.Table) -> pa.Table:
         ids, sets = _read(group)
-        side = np.array(group["side"].to_pylist())
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = sigtree.links([sets[i] for i in a], [sets[i] for i in b] if group["i"][0] != group["j"][0] else None, percent)
-        right = b if group["i"][0] != group["j"][0] else a
-        out = [(ids[a[x]], ids[right[y]]) for x, y in found]
-        return pa.table([pa.array([u for u, _ in out], pa.int64()), pa.array([v for _, v in out], pa.int64())], names=["u", "v"])
+        side, weight = np.array(group["side"].to_pylist()), np.array(group["copies"].to_pylist(), np.int64)
+        b = np.flatnonzero(side == 1) if group["i"][0] != group["j"][0] else None
+        return _link_rows(_found(ids, weight, np.flatnonzero(side == 0), b, sets, percent))
 
     return run
 
 
-def link(sets: DataFrame, grouped: DataFrame, percent: int, most_tokens: int = MOST_TOKENS) -> DataFrame:
-    """node, root: components of the links among sets; grouped as `groups` gives it. Sets without links are left out."""
+def _counted(found: DataFrame) -> DataFrame:
+    return found.filter("links IS NOT NULL").groupBy(F.col("u").alias("of")).agg(F.sum("links").alias("links"))
+
+
+def link(sets: DataFrame, grouped: DataFrame, percent: int, copies: DataFrame, most_tokens: int = MOST_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(node, root: components of the links among sets; of, links: the documents of other sets that a set links with).
+
+    grouped is as `groups` gives it; copies has of, copies: the documents of a set. Sets without links are left out."""
     roots = grouped.select(F.col("root").alias("node"), "root").distinct()
     member = grouped.unionByName(roots)
     held = sets.dropDuplicates(["set_id"]).join(member, F.col("set_id") == F.col("node")).select("set_id", "n", "tokens", "root")
-    held = materialize(held, "jaccard-groups")
+    held = materialize(held.join(copies, F.col("set_id") == F.col("of")).drop("of"), "jaccard-groups")
     sizes = held.groupBy("root").agg(F.sum("n").alias("total"))
     large = materialize(sizes.filter(F.col("total") > most_tokens).select(F.col("root").alias("big")), "jaccard-large")
     total = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -345,9 +362,10 @@ def link(sets: DataFrame, grouped: DataFrame, percent: int, most_tokens: int = M
     bucket = F.pmod(F.xxhash64("root"), F.lit(tasks)).cast("int")
     some = not large.isEmpty()
     small = held.join(large, F.col("root") == F.col("big"), "left_anti") if some else held
-    stars = small.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_link_groups(percent), "u long, v long")
+    stars = small.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_link_groups(percent), "u long, v long, links long")
     if not some:
-        return materialize(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "jaccard-links")
+        found = materialize(stars, "jaccard-links")
+        return found.filter("v IS NOT NULL").select(F.col("u").alias("node"), F.col("v").alias("root")), _counted(found)
     run = Window.partitionBy("root").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = held.join(large, F.col("root") == F.col("big"), "left_semi").select("set_id", "n", "root")
     cut = cut.withColumn("block", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / (most_tokens // 2)).cast("int"))
@@ -359,26 +377,32 @@ def link(sets: DataFrame, grouped: DataFrame, percent: int, most_tokens: int = M
     of, block = F.col("root") == F.col("of"), F.col("block")
     left = cut.join(pairs, of & (block == F.col("i"))).withColumn("side", F.lit(0))
     right = cut.join(pairs, of & (block == F.col("j")) & (F.col("i") < F.col("j"))).withColumn("side", F.lit(1))
-    met = left.unionByName(right).select("set_id", "root", "i", "j", "side").join(held.select("set_id", "tokens"), "set_id")
-    across = met.groupBy("root", "i", "j").applyInArrow(_link_blocks(percent), "u long, v long")
-    return components(stars.unionByName(across))
+    met = left.unionByName(right).select("set_id", "root", "i", "j", "side").join(held.select("set_id", "tokens", "copies"), "set_id")
+    across = met.groupBy("root", "i", "j").applyInArrow(_link_blocks(percent), "u long, v long, links long")
+    found = materialize(stars.unionByName(across), "jaccard-links")
+    return components(found.filter("v IS NOT NULL").select("u", "v")), _counted(found)
 
 
 # 4. Documents -------------------------------------------------------------------------------------------------------------
 
 
 def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, most_tokens: int = MOST_TOKENS, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) for each row of docs(doc_id, text)."""
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links (other rows that this one links with) for
+    each row of docs(doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = describe(texts, k, range_chars)
-    classes = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("alone").alias("alone"))
+    classes = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.count("*").alias("copies"))
     open_ = classes.filter(F.col("n") - F.col("alone") >= F.ceil(F.col("n") * percent / 100)).select("rep")
     sets = materialize(texts.join(open_, texts["doc_id"] == open_["rep"], "left_semi").mapInArrow(_sets(k), "set_id long, n long, tokens binary"), "jaccard-sets")
-    linked = link(sets, groups(sets, percent), percent, most_tokens)
-    named = rows.join(linked, rows["set_id"] == linked["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("name"))
+    copies = classes.select(F.col("set_id").alias("of"), "copies")
+    linked, counted = link(sets, groups(sets, percent), percent, copies, most_tokens)
+    degree = copies.join(counted, "of", "left").select("of", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("degree"))
+    named = rows.join(linked, rows["set_id"] == linked["node"], "left").join(degree, F.col("set_id") == F.col("of"), "left")
+    n_links = F.when(F.col("n") > 0, F.coalesce("degree", F.lit(0))).otherwise(F.lit(0)).alias("n_links")
+    named = named.select("doc_id", "n", n_links, F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("name"))
     least = named.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "name", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, k: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT) -> DataFrame:
@@ -389,6 +413,11 @@ def keep_one(docs: DataFrame, k: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join(table(spark, sf_dir, "documents")).drop("n_links")
+
+
+def op6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with each document's number of links; its SQL has no such column, so it is a query of its own."""
     return join(table(spark, sf_dir, "documents"))
 
 

@@ -8,6 +8,7 @@ dropped, as is every pair below it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -151,6 +152,37 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+def every_link(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in a, places in b) of similar sets; without b, of a with itself, each pair once. A place of a can come again."""
+    both = sets_a if sets_b is None else sets_a + sets_b
+    size = np.array([len(s) for s in both], np.int64)
+    offsets = np.cumsum(np.append(0, size))
+    tokens = np.concatenate(both) if both else np.empty(0, np.uint64)
+    n_bits = width(size)
+    a = Tree(tokens[: offsets[len(sets_a)]], offsets[: len(sets_a) + 1], n_bits)
+    b, shift = (a, 0) if sets_b is None else (Tree(tokens[offsets[len(sets_a)] :], offsets[len(sets_a) :] - offsets[len(sets_a)], n_bits), len(sets_a))
+    known, tokens = np.unique(tokens, return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    for i, j in candidates(a, b, percent):
+        i, j = a.order[i], b.order[j]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        head = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
+        for first, last in zip(head.tolist(), [*head[1:].tolist(), len(i)], strict=True):
+            x, y = int(i[first]), j[first:last]
+            other = size[y + shift]
+            ends = np.cumsum(other)
+            flat = np.arange(ends[-1]) + np.repeat(offsets[y + shift] - (ends - other), other)
+            own = tokens[offsets[x] : offsets[x + 1]]
+            mark[own] = True
+            met = np.cumsum(np.append(0, mark[tokens[flat]]))
+            mark[own] = False
+            shared = met[ends] - met[ends - other]
+            linked = y[100 * shared >= percent * (size[x] + other - shared)]
+            if len(linked):
+                yield x, linked
+
+
 def links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int, every: bool = False) -> list[tuple[int, int]]:
     """Pairs (place in a, place in b) of similar sets; without b, of a with itself.
 

@@ -331,6 +331,17 @@ def test_jaccard_repeated_rows_and_empty_table(spark):
     assert op6_jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_jaccard_counts_every_link(spark):
+    """Against all pairs of rows, with exact copies, chains, and groups cut into blocks."""
+    texts = jaccard_texts()
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := [x.lower() for x in brute.spaced(t)]) else set() for t in texts]
+    want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert max(want.values()) > 3
+    for settings in ({}, {"most_tokens": 900, "range_chars": 3000}):
+        got = {r.doc_id: r.n_links for r in op6_jaccard.join(table(spark, texts).repartition(3), 3, 80, **settings).collect()}
+        assert got == want
+
+
 def test_signature_trees_lose_no_pair():
     rs = np.random.RandomState(3)
     sets = []
