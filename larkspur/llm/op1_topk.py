@@ -114,7 +114,7 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = K, shard_rows: int =
     g, s = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(groups)).cast("int"), F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(shards)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.distinct().select("vec_id", "q", g.alias("g"), every(shards).alias("s"))
-    offered = vectors.select("vec_id", "q", s.alias("s"), every(groups).alias("g"))
+    offered = vectors.distinct().select("vec_id", "q", s.alias("s"), every(groups).alias("g"))
     cells = asked.groupBy("g", "s").cogroup(offered.groupBy("g", "s")).applyInPandas(_cell(k), "query_id long, s long, score long, vec_id long")
     # -score: smaller is better in both fields; collect_set drops what repeated rows have given twice.
     lists = cells.groupBy("query_id", "s").agg(F.collect_set(F.struct((-F.col("score")).alias("cost"), "vec_id")).alias("top"))

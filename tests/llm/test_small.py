@@ -66,6 +66,16 @@ def test_topk_large_values_and_empty():
     assert op1_topk.products(np.zeros((0, 2), np.int64), big).shape == (0, 2)
 
 
+def test_topk_repeated_rows_take_one_place(spark):
+    """In one shard: a row seven times, among equal vectors and among the best of other ones."""
+    rows = [(1, [5, 0])] * 7 + [(i, [5, 0]) for i in range(2, 9)] + [(20, [9, 9])] * 4 + [(i, [4, i % 3]) for i in range(30, 36)]
+    df = spark.createDataFrame(rows, "vec_id long, q array<long>")
+    got = {}
+    for r in op1_topk.search(df, df, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == brute_topk(rows, 5)
+
+
 def test_topk_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     q = op1_topk.quantised(df)
