@@ -9,8 +9,9 @@ bytes alone, and a text's code length in every language is a sum of table entrie
 The language of the smallest code length wins, ties to the smaller name; score is its share of 2^-length over languages.
 
 Training rows: of the rows with text and language that the caller lets through and whose whole texts have at most
-`train_chars` characters, about `per_language` for each language, chosen by a hash of doc_id and text. This bounds the
-model; it is the only sample, and every document is scored whole.
+`train_chars` characters, about `per_language` for each language, chosen by a hash of doc_id and text. In a language that
+has longer texts only, their first `train_chars` characters stand in. This bounds the model of a language; it is the only
+sample: all languages are learned, in tables of `GROUP_LANGUAGES` each, and every document is scored whole in all.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is every text if nothing could be learned;
 A-Z count as a-z; rows that repeat get equal results; extra columns are ignored; lang, source and doc_id of a row never
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, slices, table, utf8
 
-PER_LANGUAGE, TRAIN_CHARS, MOST_LANGUAGES, FOLDS, CHUNK = 1500, 20_000, 64, 5, 2 << 20
+PER_LANGUAGE, TRAIN_CHARS, GROUP_LANGUAGES, FOLDS, CHUNK = 1500, 20_000, 64, 5, 2 << 20
 UND = "und"
 MOST_BITS, LEAST_BYTES = 7.0, 200
 _LETTER = re.compile(r"[^\W\d_]")
@@ -113,6 +114,20 @@ class Model:
         return out
 
 
+@dataclass
+class Models:
+    """Languages in groups with a table each, as the rows of one table would be the grams of all."""
+
+    groups: list[Model]
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for group in self.groups for x in group.languages]
+
+    def lengths(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([group.lengths(codes) for group in self.groups], axis=1)
+
+
 def _split(code: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return code >> np.uint32(8), code & np.uint32((1 << (8 * order)) - 1)
 
@@ -171,28 +186,32 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([code.tobytes()], pa.binary()), pa.array([count.astype(np.int64).tobytes()], pa.binary())], ["lang", "code", "n"])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS) -> Model | None:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int = TRAIN_CHARS, group_languages: int = GROUP_LANGUAGES) -> Model | Models | None:
     """Fits on docs(doc_id, text, lang); the sample's counts, bounded by the parameters, are summed at the driver."""
     text = F.col("text").cast("string")
-    rows = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") <= train_chars) & (F.length("text") > 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
-        return None
+    rows = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    short = F.length("text") <= train_chars
+    counts = rows.groupBy("lang").agg(F.count("*").alias("every"), F.count(F.when(short, 1)).alias("short"))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:  # a hash's lowest part of the rows, as large as per_language is of all
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (place * F.lit(r["n"]) < F.lit(per_language << 30)))
-    sums: dict[str, dict[str, list]] = {r["lang"]: {"code": [], "n": []} for r in counts}
-    for row in rows.filter(chosen).select("lang", "text").mapInArrow(_count, "lang string, code binary, n binary").toLocalIterator():
-        held = sums[row["lang"]]
+    n = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("every"))
+    # A hash's lowest part of the rows, as large as per_language is of all.
+    chosen = rows.join(F.broadcast(counts), "lang").filter((short | (F.col("short") == 0)) & (place * n < F.lit(per_language << 30)))
+    chosen = chosen.select("lang", F.substring("text", 1, train_chars).alias("text"))
+    sums: dict[str, dict[str, list]] = {}
+    for row in chosen.mapInArrow(_count, "lang string, code binary, n binary").toLocalIterator():
+        held = sums.setdefault(row["lang"], {"code": [], "n": []})
         held["code"].append(np.frombuffer(row["code"], np.uint32))
         held["n"].append(np.frombuffer(row["n"], np.int64))
         if len(held["code"]) >= 16:
             _merge(held)
     learned = {lang: held for lang, held in sums.items() if held["code"]}
+    if not learned:
+        return None
     for held in learned.values():
         _merge(held)
-    return fit({lang: (held["code"][0], held["n"][0]) for lang, held in learned.items()}) if learned else None
+    names = sorted(learned)
+    fitted = [fit({x: (learned[x]["code"][0], learned[x]["n"][0]) for x in names[a : a + group_languages]}) for a in range(0, len(names), group_languages)]
+    return fitted[0] if len(fitted) == 1 else Models(fitted)
 
 
 def _merge(held: dict[str, list]) -> None:
@@ -214,8 +233,9 @@ def _predict(shared):
                 size = np.diff(off)
                 total = np.zeros((n, len(model.languages)))
                 # Pieces keep the table of costs small even where one text is very long.
-                for a in range(0, len(codes), CHUNK):
-                    bits = model.lengths(codes[a : a + CHUNK])
+                piece = max(1, CHUNK * GROUP_LANGUAGES // max(GROUP_LANGUAGES, len(model.languages)))
+                for a in range(0, len(codes), piece):
+                    bits = model.lengths(codes[a : a + piece])
                     first = int(np.searchsorted(begin, a, "right")) - 1
                     some = np.arange(first, int(np.searchsorted(begin, a + len(bits), "left")))
                     some = some[(size[some] > 0) & (begin[some] + size[some] > a)]
@@ -231,7 +251,7 @@ def _predict(shared):
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[Column] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | Models | None, keep: list[Column] | None = None) -> DataFrame:
     """The columns `keep` (doc_id by default), lang_pred, score, bits_per_byte of every row of docs."""
     rows = docs.select(*(keep or [F.col("doc_id")]), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
@@ -239,7 +259,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[Column] | None = N
     return rows.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
-def keep_language(docs: DataFrame, model: Model | None, most_bits: float = MOST_BITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
+def keep_language(docs: DataFrame, model: Model | Models | None, most_bits: float = MOST_BITS, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """The rows of docs in some language: not `und`, and no text of least_bytes or more that costs over most_bits a byte."""
     predict = _predict(docs.sparkSession.sparkContext.broadcast(model))
 

@@ -590,6 +590,20 @@ def test_language_predictions(spark):
     assert none is None and {r.lang_pred for r in op10_language.identify(df, none).collect()} == {"und"}
 
 
+def test_language_learns_every_language(spark):
+    """More languages than one table holds, the rarest with texts of over 20,000 characters only."""
+    rows = []
+    for n in range(70):
+        words = ["".join(chr(0x4E00 + 40 * n + rng.randrange(40)) for _ in range(3)) for _ in range(20)]
+        text = lambda k: " ".join(rng.choice(words) for _ in range(k))  # noqa: B023, E731
+        rows += [(100 * n + i, text(40), f"l{n:02}") for i in range(4)] if n < 69 else [(100 * n, text(6000), f"l{n:02}")]
+        rows.append((100 * n + 50, text(30), None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op10_language.train(df)
+    assert list(model.languages) == [f"l{n:02}" for n in range(70)]
+    assert all(r.lang_pred == f"l{r.doc_id // 100:02}" for r in op10_language.identify(df, model).collect())
+
+
 def test_language_held_out_accuracy(spark, data):
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     got = [r for r in op10_language.op10_language(spark, data).collect() if r.held_out]
