@@ -12,7 +12,7 @@ The benchmark is sent to the executors in blocks of rows of bounded size (`block
 alone); with more than one block, the matches of all blocks are joined per document before words are counted.
 
 Defined cases: a null or empty text has no words and no hits; a null item or one without words matches nothing; rows that
-repeat are reported for each row with one block (with more, `matches` needs distinct doc_ids); an empty benchmark leaves
+repeat are reported for each row; an empty benchmark leaves
 all documents clean; items that share an item_id count once; extra columns are ignored, and kept by `remove`.
 """
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +156,8 @@ def _scan(window: int, items: list[tuple]):
         suffixes = test_suffixes(items, window)
         for batch in slices(batches, "text", SHARD_BYTES):
             counts, rows = _shard(batch, suffixes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(rows, _MATCH)], ["doc_id", "n_words", "matches"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(counts), pa.array(rows, _MATCH)], [*kept, "n_words", "matches"])
 
     return run
 
@@ -181,14 +182,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     """doc_id, n_words, matches: longest verbatim matches (start, n_words, item_id, item_start), for each row of docs."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = _SCHEMA.format(kind=dict(texts.dtypes)["doc_id"])
-    parts = [texts.mapInArrow(_scan(window, items), schema) for items in blocks(benchmark, block_bytes)] or [texts.mapInArrow(_scan(window, []), schema)]
-    if len(parts) == 1:
-        return parts[0]
-    parts = [materialize(p, "benchmark-block") for p in parts]
+    others = blocks(benchmark, block_bytes)
+    first, second = next(others, []), next(others, None)
+    if second is None:
+        return texts.mapInArrow(_scan(window, first), schema)
+    # Rows of equal doc_id and text have equal matches: they go as one with their number and come back as many.
+    keyed, schema = texts.withColumn("h", F.xxhash64("text")), schema.replace(", n_words", ", h long, n_words", 1)
+    alike = [F.first("n_words").alias("n_words"), F.first("matches").alias("matches"), F.count("*").cast("int").alias("rows")]
+    parts = [materialize(keyed.mapInArrow(_scan(window, items), schema).groupBy("doc_id", "h").agg(*alike), "benchmark-block") for items in chain([first, second], others)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
+    out = out.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"), F.max("rows").alias("rows"))
+    return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("doc_id", "n_words", "matches")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -247,6 +247,15 @@ def test_decontamination_longest_match(spark):
     assert [(x.start, x.n_words, x.item_id, x.item_start) for x in m] == [(1, 25, "9", 5)]
 
 
+def test_decontamination_repeated_rows_in_any_number_of_blocks(spark):
+    a, b = prose(30), prose(30)
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, b), (2, None), (3, prose(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([("x", a), ("y", b), ("z", prose(30))], "item_id string, text string")
+    one, many = (sorted(map(repr, op4_decontamination.digest(op4_decontamination.matches(docs, tests, block_bytes=n)).collect())) for n in (1 << 20, 10))
+    assert one == many and len(one) == len(rows)
+
+
 def test_decontamination_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = table(spark, ["a b", None])
