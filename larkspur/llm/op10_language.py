@@ -195,7 +195,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, train_chars: int =
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     n = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("every"))
     # A hash's lowest part of the rows, as large as per_language is of all.
-    chosen = rows.join(F.broadcast(counts), "lang").filter((short | (F.col("short") == 0)) & (place * n < F.lit(per_language << 30)))
+    chosen = rows.join(F.broadcast(counts), "lang").filter((short | (F.col("short") == 0)) & (place < F.lit(float(per_language << 30)) / n))
     chosen = chosen.select("lang", F.substring("text", 1, train_chars).alias("text"))
     sums: dict[str, dict[str, list]] = {}
     for row in chosen.mapInArrow(_count, "lang string, code binary, n binary").toLocalIterator():
