@@ -151,9 +151,9 @@ def _shard(batch: pa.RecordBatch, suffixes: Suffixes) -> tuple[np.ndarray, list[
     return counts, rows
 
 
-def _scan(window: int, items: list[tuple]):
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = test_suffixes(items, window)
+        suffixes = shared.value
         for batch in slices(batches, "text", SHARD_BYTES):
             counts, rows = _shard(batch, suffixes)
             kept = [c for c in batch.schema.names if c != "text"]
@@ -178,6 +178,11 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def _shared(docs: DataFrame, items: list[tuple], window: int):
+    """A block's suffixes, sorted out once and broadcast; bounded by the block's size."""
+    return docs.sparkSession.sparkContext.broadcast(test_suffixes(items, window))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, matches: longest verbatim matches (start, n_words, item_id, item_start), for each row of docs."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -185,11 +190,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_b
     others = blocks(benchmark, block_bytes)
     first, second = next(others, []), next(others, None)
     if second is None:
-        return texts.mapInArrow(_scan(window, first), schema)
+        return texts.mapInArrow(_scan(_shared(docs, first, window)), schema)
     # Rows of equal doc_id and text have equal matches: they go as one with their number and come back as many.
     keyed, schema = texts.withColumn("h", F.xxhash64("text")), schema.replace(", n_words", ", h long, n_words", 1)
     alike = [F.first("n_words").alias("n_words"), F.first("matches").alias("matches"), F.count("*").cast("int").alias("rows")]
-    parts = [materialize(keyed.mapInArrow(_scan(window, items), schema).groupBy("doc_id", "h").agg(*alike), "benchmark-block") for items in chain([first, second], others)]
+    parts = [materialize(keyed.mapInArrow(_scan(_shared(docs, items, window)), schema).groupBy("doc_id", "h").agg(*alike), "benchmark-block") for items in chain([first, second], others)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -223,16 +228,15 @@ def digest(found: DataFrame) -> DataFrame:
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs: a filter for each block of the benchmark."""
 
-    def clean(items: list[tuple]):
+    def clean(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            suffixes = test_suffixes(items, window)
             for batch in slices(batches, "text", SHARD_BYTES):
-                yield batch.filter(pa.array([not m for m in _shard(batch, suffixes)[1]], pa.bool_()))
+                yield batch.filter(pa.array([not m for m in _shard(batch, shared.value)[1]], pa.bool_()))
 
         return run
 
     for items in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(clean(items), docs.schema)
+        docs = docs.mapInArrow(clean(_shared(docs, items, window)), docs.schema)
     return docs
 
 
