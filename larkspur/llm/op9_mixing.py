@@ -13,8 +13,9 @@
 Only sources and blocks meet in windows, never the documents of a source: one source may hold any part of the rows.
 
 Defined cases: a null text has size 0; null sources form one source, last; an empty table gives no rows; sources of size
-0 have target 0; rows that repeat a doc_id are dealt as rows of their own; other columns are ignored by `mix` and kept by
-`draw`. A null doc_id hashes like any other value.
+0 have target 0; rows that repeat a doc_id are dealt as rows of their own, whatever their texts; other columns take no part in
+`mix` but tell such rows apart, and are kept by `draw` (columns named like its own get the ending _in). A null doc_id hashes
+like any other value. The table of sources, a narrow row each, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -33,9 +34,15 @@ def word_count(col):
     return F.when(inner.isNull() | (inner == ""), F.lit(0)).otherwise(F.size(F.split(inner, SPACE_RUN))).cast("long")
 
 
+def _mark(docs: DataFrame):
+    """A hash of all of a row's columns (but maps, which have none): rows with one mark are alike."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
+        _mark(docs).alias("mark"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("skey"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
@@ -70,7 +77,7 @@ def targets(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS) -> Da
 
 def _blocked(docs: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     keyed = docs.join(sources.drop("source", "n_docs", "weight", "quota"), "skey")
-    return keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "skey")).withColumn("block", F.pmod(F.col("h"), F.col("n_blocks")))
+    return keyed.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "skey", "mark")).withColumn("block", F.pmod(F.col("h"), F.col("n_blocks")))
 
 
 def _drawn_blocks(blocked: DataFrame, seed: int) -> DataFrame:
@@ -88,7 +95,7 @@ def _taken(blocked: DataFrame, drawn: DataFrame) -> DataFrame:
     """blocked with extra: words that the last, partial pass takes of the document."""
     marked = blocked.join(drawn.select("skey", "block", "part", "whole", "turn"), ["skey", "block"])
     whole = marked.filter(F.col("whole") | (F.col("part") == 0)).withColumn("extra", F.when(F.col("whole"), F.col("size")).otherwise(F.lit(0)))
-    within = Window.partitionBy("skey", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("skey", "block").orderBy("h", "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, 0)
     cut = marked.filter(~F.col("whole") & (F.col("part") > 0)).withColumn("run", F.sum("size").over(within) - F.col("size"))
     cut = cut.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("run")))).drop("run")
     return whole.unionByName(cut)
@@ -143,19 +150,39 @@ def mix(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, shards: i
     return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("draws").alias("copies"))
 
 
+def _renamed(docs: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """docs without columns of these names, whatever their case: such ones end in _in, as often as it takes."""
+    taken = {c.lower() for c in docs.columns} | set(own)
+    names = {}
+    for c in docs.columns:
+        if c.lower() in own:
+            new = c
+            while new.lower() in taken:
+                new += "_in"
+            taken.add(new.lower())
+            names[c] = new
+    return docs.withColumnsRenamed(names)
+
+
 def draw(docs: DataFrame, cap: int = CAP, block_docs: int = BLOCK_DOCS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: a row of docs for each draw, with pass, taken_words, shard and place (the order within the shard).
+    """The mix itself: a row of docs for each draw, with pass, taken_words, shard and place. A shard lies in one partition,
+    its rows in the order of place.
 
-    Documents of no words are not drawn. Rows that repeat a doc_id are drawn alike."""
+    Documents of no words are not drawn. Rows that are alike in all columns are drawn from as often as they are there."""
     rows = dealt(docs, cap, block_docs, shards, seed)
-    each = rows.dropDuplicates(["doc_id", "skey"]).select("doc_id", "skey", F.inline("draws")).filter(F.col("taken_words") > 0)
-    place = F.xxhash64(F.lit(seed + 7), "doc_id", "pass")
-    chosen = each.select(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_key"), "pass", "taken_words", "shard", place.alias("place"))
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    clash = {c: f"{c}_in" for c in ("pass", "taken_words", "shard", "place", "mix_id", "mix_key") if c in docs.columns}
-    docs = docs.withColumnsRenamed(clash)
-    joined = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["mix_id"]) & (key == chosen["mix_key"]))
-    return joined.drop("mix_id", "mix_key").sortWithinPartitions("shard", "place")
+    key = ["doc_id", "skey", "mark"]
+    each = rows.select(*key, F.inline("draws")).filter(F.col("taken_words") > 0)
+    place = F.xxhash64(F.lit(seed + 7), "doc_id", "mark", "pass")
+    chosen = each.select(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_key"), F.col("mark").alias("mix_mark"), "pass", "taken_words", "shard", place.alias("place"))
+    skey = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    marked = _renamed(docs.withColumn("_own_mark", _mark(docs)), ("pass", "taken_words", "shard", "place", "mix_id", "mix_key", "mix_mark"))
+    same = lambda other: marked["doc_id"].eqNullSafe(other["mix_id"]) & (skey == other["mix_key"]) & (marked["_own_mark"] == other["mix_mark"])
+    again = rows.groupBy(*key).count().filter("count > 1").select(F.col("doc_id").alias("mix_id"), F.col("skey").alias("mix_key"), F.col("mark").alias("mix_mark"))
+    again = materialize(again, "mix-alike")
+    if not again.isEmpty():  # of rows that are alike one stays, and gets the draws of all
+        marked = marked.join(again, same(again), "left_anti").unionByName(marked.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "_own_mark"]))
+    joined = marked.join(chosen, same(chosen)).drop("mix_id", "mix_key", "mix_mark", "_own_mark")
+    return joined.repartition(shards, "shard").sortWithinPartitions("shard", "place")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
