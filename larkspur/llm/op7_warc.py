@@ -15,8 +15,8 @@ To find the first of equal payloads, an index of (page_id, size, digest) is aggr
 revisits' page_ids are joined back to the pages, so payloads are not moved unless Spark finds that side large.
 
 Defined cases: a null html is an empty payload; a null URL becomes urn:page:<page_id>; white space and control characters
-in a URL are percent-encoded; rows that repeat the first page_id of a payload are responses all; a null page_id is a
-response unless its payload stands in a row with a page_id; an empty table gives an empty archive; extra columns are ignored.
+in a URL are percent-encoded; rows that repeat the first page_id of a payload are responses all; a row without page_id
+revisits the first row with its payload that has one, and is a response if there is none; an empty table gives an empty archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,28 +127,52 @@ def http_fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:]) if v}
 
 
-def convert(record: ArcRecord, refers_to: str | None = None) -> WarcRecord:
-    """The WARC record of an ARC record: a response, or a revisit of the page refers_to without its payload."""
-    head, payload = payload_of(record.block)
+def convert(record: ArcRecord, refers_to: tuple | None = None) -> WarcRecord:
+    """The WARC record of an ARC record: a response, a revisit of refers_to (page_id, URI) without its payload, or, where no
+    HTTP header stands before it (as in dns: records), a resource."""
+    http = record.block.startswith(b"HTTP/")
+    head, payload = payload_of(record.block) if http else (b"", record.block)
     own = digest(payload)
-    when = datetime.strptime(record.date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
     block = record.block if refers_to is None else head
     headers = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record.url} {record.date} {own}')}>",
-        "WARC-Date": when,
+        "WARC-Type": "revisit" if refers_to is not None else "response" if http else "resource",
+        "WARC-Record-ID": record_id(record.url, record.date, own),
+        "WARC-Date": iso_date(record.date),
         "WARC-Target-URI": record.url,
         "WARC-IP-Address": record.ip,
         "WARC-Payload-Digest": f"sha1:{own}",
         "WARC-Block-Digest": f"sha1:{digest(block)}",
-        "Content-Type": "application/http; msgtype=response",
+        "Content-Type": "application/http; msgtype=response" if http else record.content_type,
         "Content-Length": str(len(block)),
     }
     if refers_to is not None:
-        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To-Page": refers_to}
+        page, url = refers_to
+        date = page_date(page)
+        headers |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(url, date, own), "WARC-Refers-To-Target-URI": url, "WARC-Refers-To-Date": iso_date(date), "WARC-Refers-To-Page": str(page)}
     return WarcRecord(headers, block)
 
 
+def iso_date(date: str) -> str:
+    return datetime.strptime(date[:14].ljust(14, "0"), "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def record_id(url: str, date: str, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {payload_digest}')}>"
+
+
+def warcinfo(name: str, intro: bytes) -> WarcRecord:
+    """The record that stands for an ARC file's version block."""
+    body = f"software: larkspur\r\nformat: WARC File Format 1.1\r\nconverted-from: {name}\r\n".encode() + b"arc-version-block: " + b" ".join(intro.split()) + b"\r\n"
+    headers = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id(f"filedesc://{name}", "", digest(intro)), "WARC-Date": iso_date("20000101"), "WARC-Filename": name, "WARC-Block-Digest": f"sha1:{digest(body)}", "Content-Type": "application/warc-fields", "Content-Length": str(len(body))}
+    return WarcRecord(headers, body)
+
+
+def version_block(raw: bytes) -> bytes:
+    """What an ARC file says of itself in its first record."""
+    end = raw.find(b"\n")
+    return raw[end + 1 : end + 1 + int(raw[:end].rsplit(b" ", 1)[1])]
+
+
 def member(record: WarcRecord) -> bytes:
     """A gzip member with one record."""
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in record.headers.items()) + "\r\n"
@@ -175,12 +199,15 @@ def read_warc(raw: bytes) -> Iterator[WarcRecord]:
 # Tables -----------------------------------------------------------------------------------------------------------------
 
 
+def page_date(page_id: int | None) -> str:
+    return (_EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
+
+
 def page_record(page_id, url: str | None, html: str | None) -> ArcRecord:
     payload = (html or "").encode()
     address = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else f"urn:page:{page_id}"
-    date = (_EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-ID: {'' if page_id is None else page_id}\r\nContent-Length: {len(payload)}\r\n\r\n"
-    return ArcRecord(address, "0.0.0.0", date, "text/html", head.encode() + payload)
+    return ArcRecord(address, "0.0.0.0", page_date(page_id), "text/html", head.encode() + payload)
 
 
 def _legacy(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -203,8 +230,9 @@ def _page_id(record: ArcRecord | WarcRecord) -> int | None:
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, files in _legacy(batches):
-        rows = [(_page_id(r), payload_of(r.block)[1]) for raw in files for r in read_arc(raw)]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int64()), pa.array([digest(x) for _, x in rows], pa.string())], ["page_id", "size", "digest"])
+        rows = [(_page_id(r), payload_of(r.block)[1], r.url) for raw in files for r in read_arc(raw)]
+        columns = [pa.array([p for p, _, _ in rows], pa.int64()), pa.array([len(x) for _, x, _ in rows], pa.int64()), pa.array([digest(x) for _, x, _ in rows], pa.string()), pa.array([u for _, _, u in rows], pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "size", "digest", "uri"])
 
 
 def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +241,7 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for record, known in zip(arc, revisits, strict=True):
             page = known.get(digest(payload_of(record.block)[1])) if known else None
-            out.append(member(convert(record, None if page is None else str(page))))
+            out.append(member(convert(record, None if page is None else (page["first"], page["uri"]))))
         data = b"".join(out)
         yield pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha1(data).hexdigest()[:16]}.warc.gz"]), pa.array([len(out)], pa.int64()), pa.array([data], pa.binary())], ["archive", "n_records", "data"])
 
@@ -221,11 +249,13 @@ def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def archive(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """archive, n_records, data: WARC archives of pages(page_id, url, html), kept in the shared folder."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    index = materialize(rows.mapInArrow(_index, "page_id long, size long, digest string"), "warc-index").filter(F.col("size") >= least)
-    first = index.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    again = index.join(first, "digest").filter("page_id > first").select("page_id", F.struct("digest", "first").alias("one"))
-    revisits = materialize(again.groupBy("page_id").agg(F.map_from_entries(F.collect_set("one")).alias("revisits")), "warc-revisits")
-    marked = rows.join(revisits, "page_id", "left").select("page_id", "url", "html", "revisits")
+    index = materialize(rows.mapInArrow(_index, "page_id long, size long, digest string, uri string"), "warc-index").filter(F.col("size") >= least)
+    known = F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").alias("first"), "uri"))
+    first = index.groupBy("digest").agg(F.min(known).alias("one"), F.count("*").alias("n")).filter("n > 1 AND one IS NOT NULL").select("digest", "one")
+    again = index.join(first, "digest").filter("page_id IS NULL OR page_id > one.first").select("page_id", F.struct("digest", "one").alias("one"))
+    again = again.select(F.col("page_id").alias("of"), "one").groupBy("of").agg(F.map_from_entries(F.collect_set("one")).alias("revisits"))
+    revisits = materialize(again, "warc-revisits")
+    marked = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("of")), "left").select("page_id", "url", "html", "revisits")
     return materialize(marked.mapInArrow(_archives, "archive string, n_records long, data binary"), "warc")
 
 
@@ -252,7 +282,8 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def convert_files(spark: SparkSession, path: str) -> DataFrame:
-    """archive, n_records, data: WARC archives (responses only) of the ARC files under path, one for each."""
+    """archive, n_records, data: WARC archives of the ARC files under path, one for each, led by a warcinfo record. A file is
+    read whole, as Spark's binaryFile does (2 GB at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +296,7 @@ def convert_files(spark: SparkSession, path: str) -> DataFrame:
                         whole.append(unpacker.decompress(plain))
                         plain = unpacker.unused_data
                     plain = b"".join(whole)
-                out = [member(convert(r)) for r in read_arc(plain)]
+                out = [member(warcinfo(os.path.basename(name), version_block(plain))), *(member(convert(r)) for r in read_arc(plain))] if plain else []
                 yield pa.RecordBatch.from_arrays([pa.array([f"{os.path.basename(name).removesuffix('.gz').removesuffix('.arc')}.warc.gz"]), pa.array([len(out)], pa.int64()), pa.array([b"".join(out)], pa.binary())], ["archive", "n_records", "data"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, n_records long, data binary")
@@ -293,6 +324,6 @@ bits AS (SELECT page_id, payload_bytes, hex,
                 array_to_string(list_transform(string_split(hex, ''), lambda c: right(('000' || bin(instr('0123456789abcdef', c) - 1)), 4)), '') AS b FROM p),
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
              1 + list_sum(list_transform(range(5), lambda j: (substr(b, (5 * k + j + 1)::BIGINT, 1) = '1')::INT * (16 >> j)::INT))::INT, 1)), '') AS payload_digest FROM bits)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN coalesce(page_id = min(page_id) OVER w, min(page_id) OVER w IS NULL) THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id > min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
 FROM d WINDOW w AS (PARTITION BY payload_digest)"""
