@@ -13,11 +13,13 @@ script, case, vowels and their last letter, which carries gender in many languag
 
 Collision check: every surrogate is inverted before it is used, and must give back its entity; the permutation is thus
 verified to be one-to-one where it was applied, without comparing entities across documents. What fails the check gets
-characters drawn by a keyed hash. `collisions` compares all pairs (entity, surrogate) of a result in one aggregate.
+characters drawn by a keyed hash. `distinct_surrogates` then compares all pairs (entity, surrogate) of a corpus in one
+aggregate, and draws again what collides.
 
-Spans found by two detectors go to the one that starts first, then to the longer. Defined cases: a null text stays null
+Spans found by two detectors go to the one that starts first, then to the longer. Words of a name that was found are replaced
+wherever they stand in that text, so a later mention by one name keeps its reference. Defined cases: a null text stays null
 with no entities, a text without entities stays as it is; rows that repeat are treated alike; texts of any length are read
-whole; extra columns are kept by `anonymize`.
+whole; extra columns are kept by `anonymize`, which names its own so that they don't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, slices, table
 
 KEY = b"larkspur surrogate key"
 ROUNDS, CHUNK = 8, 4 << 20
@@ -273,8 +275,9 @@ def _drawn(entity: str, key: bytes) -> str:
 
 
 @lru_cache(1 << 16)
-def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
-    own = hashlib.blake2b(_KEYS.get(kind, kind).encode(), key=key[:64], digest_size=24).digest()
+def surrogate(kind: str, entity: str, key: bytes = KEY, attempt: int = 0) -> str:
+    """attempt: another permutation of the same format, for what a collision has made to be drawn again."""
+    own = hashlib.blake2b(_KEYS.get(kind, kind).encode() + b"!" * attempt, key=key[:64], digest_size=24).digest()
     new = _MAKERS[kind](entity, own, False)
     return new if _MAKERS[kind](new, own, True) == entity else _drawn(entity, own)
 
@@ -309,14 +312,36 @@ def detect(text: str, kinds: set[str] | None = None) -> list[tuple[int, int, str
         if start >= end:
             out.append((start, -stop, kind))
             end = -stop
+    return _mentions(text, out)
+
+
+_CAPITALS = re.compile(rf"\b{_CAPITAL}\b")
+
+
+def _mentions(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """spans, and where else in the text a word of three letters or more of a name that was found stands by itself."""
+    names = {w for a, b, kind in spans if _KEYS.get(kind) == "name" for w in text[a:b].split(" ") if len(w) > 2}
+    if not names:
+        return spans
+    out, at = [], 0
+    for start, stop, kind in [*spans, (len(text), len(text), "")]:
+        out += [(m.start(), m.end(), "named") for m in _CAPITALS.finditer(text, at, start) if m[0] in names]
+        at = stop
+        if kind:
+            out.append((start, stop, kind))
     return out
 
 
-def replace(text: str, spans: list[tuple[int, int, str]], key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (type, entity, surrogate) of each span."""
+def _digest(entity: str, key: bytes) -> str:
+    return hashlib.blake2b(entity.lower().encode(), key=key[:64], digest_size=16).hexdigest()
+
+
+def replace(text: str, spans: list[tuple[int, int, str]], key: bytes = KEY, attempts: dict | None = None) -> tuple[str, list[tuple[str, str, str]]]:
+    """The text with surrogates, and (type, entity, surrogate) of each span; attempts: (type, digest) of what is drawn again."""
     parts, pairs, end = [], [], 0
     for start, stop, kind in spans:
-        new = surrogate(kind, text[start:stop], key)
+        own = (attempts or {}).get((_KEYS.get(kind, kind), _digest(text[start:stop], key)), 0) if attempts else 0
+        new = surrogate(kind, text[start:stop], key, own)
         parts += [text[end:start], new]
         pairs.append((_KEYS.get(kind, kind), text[start:stop], new))
         end = stop
@@ -326,7 +351,7 @@ def replace(text: str, spans: list[tuple[int, int, str]], key: bytes = KEY) -> t
 _ENTITIES = "array<struct<kind: string, digest: string, surrogate: string>>"
 
 
-def _run(key: bytes, name: str):
+def _run(key: bytes, name: str, entities_name: str, attempts: dict | None):
     pairs_type = pa.list_(pa.struct([("kind", pa.string()), ("digest", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,36 +365,62 @@ def _run(key: bytes, name: str):
             for i, some in kinds.items():
                 text = col[i].as_py()
                 if spans := detect(text, some):
-                    texts[i], pairs = replace(text, spans, key)
-                    entities[i] = [{"kind": k, "digest": hashlib.blake2b(e.lower().encode(), key=key[:64], digest_size=16).hexdigest(), "surrogate": s} for k, e, s in pairs]
+                    texts[i], pairs = replace(text, spans, key, attempts)
+                    entities[i] = [{"kind": k, "digest": _digest(e, key), "surrogate": s} for k, e, s in pairs]
             if texts:
                 mask = [i in texts for i in range(batch.num_rows)]
                 col = pc.replace_with_mask(col, pa.array(mask), pa.array([texts[i] for i in sorted(texts)], col.type))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], col, pa.array(entities, pairs_type)], [*batch.schema.names, "_entities"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], col, pa.array(entities, pairs_type)], [*batch.schema.names, entities_name])
 
     return run
 
 
-def anonymize(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """docs with its text replaced, and the column _entities: type, keyed digest and surrogate of each, in order."""
-    others = [c for c in docs.columns if c != "text"]
-    if "_entities" in docs.columns:
-        raise ValueError("a column _entities is there already")
+def entities_name(docs: DataFrame) -> str:
+    """_entities, with as many more of the first character as it takes where docs has such a column."""
+    name = "_entities"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
+def anonymize(docs: DataFrame, key: bytes = KEY, attempts: dict | None = None) -> DataFrame:
+    """docs with its text replaced, and the column `entities_name(docs)`: type, keyed digest and surrogate of each, in order."""
+    others, name = [c for c in docs.columns if c != "text"], entities_name(docs)
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    out = rows.mapInArrow(_run(key, "text"), f"{schema}, _entities {_ENTITIES}")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_entities")
+    out = rows.mapInArrow(_run(key, "text", name, attempts), f"{schema}, {name} {_ENTITIES}")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], name)
 
 
 def collisions(anonymized: DataFrame) -> DataFrame:
-    """kind, surrogate of more than one entity in a result of `anonymize`; empty if surrogates are distinct."""
-    each = anonymized.select(F.explode("_entities").alias("e")).select("e.*")
-    least = each.groupBy("kind", F.lower("surrogate").alias("surrogate")).agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
-    return least.filter("a != b").select("kind", "surrogate")
+    """kind, surrogate, digest of entities whose surrogate is that of another one with a smaller digest; empty if surrogates
+    are distinct."""
+    each = anonymized.select(F.explode("_entities").alias("e")).select("e.kind", "e.digest", F.lower("e.surrogate").alias("surrogate"))
+    least = each.groupBy("kind", "surrogate").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b").select("kind", "surrogate", "a")
+    return each.join(least, ["kind", "surrogate"]).filter("digest != a").select("kind", "surrogate", "digest").distinct()
+
+
+MOST_AGAIN = 100_000
+
+
+def distinct_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+    """`anonymize`, after all entities' surrogates have been compared in one aggregate: what collides is drawn again by
+    another permutation, until nothing does. Only colliding entities come to the driver, an error if beyond MOST_AGAIN.
+
+    Texts are read once for the comparison and once to be written; nothing but digests and surrogates is kept in between."""
+    attempts: dict = {}
+    while True:
+        found = materialize(collisions(anonymize(docs.select("text"), key, attempts)), "surrogate-collisions").limit(MOST_AGAIN + 1).collect()
+        if not found:
+            return anonymize(docs, key, attempts)
+        if len(found) > MOST_AGAIN:
+            raise RuntimeError("too many surrogates collide")
+        for r in found:
+            attempts[r["kind"], r["digest"]] = attempts.get((r["kind"], r["digest"]), 0) + 1
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_entities, kinds (sorted, comma-joined), text (with surrogates) of every document."""
-    out = anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = distinct_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("_entities", lambda e: e["kind"]))), ",")
     return out.select("doc_id", F.size("_entities").cast("long").alias("n_entities"), kinds.alias("kinds"), "text")

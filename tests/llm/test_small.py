@@ -114,13 +114,17 @@ def test_lm_base_and_score(spark):
 
 def lm_model():
     raw = np.frombuffer(prose(3000).encode(), np.uint8).astype(np.int64)
-    code = op2_mixing_lm.Code(np.bincount(raw[:-1] * 257 + raw[1:], minlength=256 * 257))
-    return code, [np.random.RandomState(1).randint(-60, 60, 1 << b).astype(np.int8) for b in op2_mixing_lm.BITS]
+    keys, n = np.unique((raw[1:-1] | raw[:-2] << 8) * 257 + raw[2:], return_counts=True)
+    return op2_mixing_lm.Code(keys, n), [np.random.RandomState(1).randint(-60, 60, 1 << b).astype(np.int8) for b in op2_mixing_lm.BITS]
 
 
 def test_lm_codes_are_complete():
     code, _ = lm_model()
-    assert np.allclose((2.0 ** -code.length.astype(float)).reshape(256, 257).sum(1), 1)
+    assert np.allclose((2.0 ** -code.length.astype(float)).reshape(-1, 257).sum(1), 1) and len(code.length) > 20 * 257
+
+
+def lm_bits(symbols, code, predictors, begin=(0,), expected=None):
+    return op2_mixing_lm.code_lengths(symbols, np.array(begin), np.zeros(len(begin), int), code, predictors, expected)[0].sum()
 
 
 def test_lm_probabilities_add_up():
@@ -128,12 +132,70 @@ def test_lm_probabilities_add_up():
     code, predictors = lm_model()
     for text in (b"", b"some text", b"x " * 40):
         head = np.frombuffer(text, np.uint8).astype(np.uint16)
-        before = op2_mixing_lm.code_lengths(head, np.array([0]), code, predictors)[0] if text else 0
-        total = sum(2.0 ** -(op2_mixing_lm.code_lengths(np.append(head, s).astype(np.uint16), np.array([0]), code, predictors)[0] - before) for s in range(257))
-        assert abs(total - 1) < 1e-3
-
-
-def test_lm_score_does_not_depend_on_neighbours():
+        for hope in (-1, ord("e")):
+            hoped = np.append(np.full(len(head), -1), hope).astype(np.int16), np.full(len(head) + 1, 3, np.int16)
+            before = lm_bits(head, code, predictors) if text else 0
+            total = sum(2.0 ** -(lm_bits(np.append(head, s).astype(np.uint16), code, predictors, expected=hoped) - before) for s in range(257))
+            assert abs(total - 1) < 1e-3
+
+
+def slow_bits(text, code, predictors, hoped=None):
+    """The coder by its description: decision by decision, in lanes that go in step and share the text's weights and map."""
+    m, symbols = op2_mixing_lm, [*text.lower(), 256]
+    cut = [symbols[i : i + m.LANE] for i in range(0, len(symbols), m.LANE)]
+    places, at, paths = [], 0, []
+    for lane in cut:
+        _, kept = m.contexts(np.array(lane, np.uint16), np.array([0]))
+        path = []
+        for i, s in enumerate(lane):
+            tree = code.tree[(lane[i - 1] if i else 0) | (lane[i - 2] << 8 if i > 1 else 0)]
+            a, n = code.start[tree + s], code.length[tree + s]
+            want, right = (-1, 0) if hoped is None else hoped[at + i]
+            for d in range(n):
+                x = [float(p[c[i] ^ code.node[a + d] % m.LINE]) for c, p in zip(kept, predictors)]
+                gate, last = sum(abs(x[-1]) > least * m.SCALE for least in m.SURE), m.BIAS
+                if want >= 0:
+                    b = code.start[tree + want]
+                    if d < code.length[tree + want] and (code.node[b : b + d + 1] == code.node[a : a + d + 1]).all():
+                        gate, last = m.MATCHED, (2 * int(code.bit[b + d]) - 1) * m.SCALE * (1 + min(right, 16) / 4)
+                path.append(([*x, last], gate, min(d, m.DEPTHS - 1), int(code.bit[a + d])))
+        at += len(lane)
+        paths.append(path)
+    weights = {(g, d): [w / m.SCALE for w in m.WEIGHTS[g]] for g in range(m.LEVELS) for d in range(m.DEPTHS)}
+    refined = {(g, q): 1 / (1 + np.exp(8 - (q + 0.5) * 16 / m.BUCKETS)) for g in range(m.LEVELS) for q in range(m.BUCKETS)}
+    bits, order = 0.0, sorted(range(len(paths)), key=lambda i: -len(paths[i]))
+    for step in range(max(map(len, paths))):
+        change = []
+        for i in order:
+            if step < len(paths[i]):
+                x, gate, depth, y = paths[i][step]
+                t = min(max(sum(a * b for a, b in zip(weights[gate, depth], x)), -7.99), 7.99)
+                q, p = int((t + 8) * m.BUCKETS / 16), 1 / (1 + np.exp(-t))
+                own = refined[gate, q]
+                chance = p + (own - p) * m.MAP_SHARE
+                bits -= np.log2(chance if y else 1 - chance)
+                rate = m.RATE / m.SCALE**2 * max(0.15, 1 / (1 + step / 256)) * (y - p)
+                change.append(((gate, depth), [a + rate * b for a, b in zip(weights[gate, depth], x)], (gate, q), own + (y - own) * m.MAP_RATE))
+        for w, new, q, value in change:
+            weights[w], refined[q] = new, value
+    return bits
+
+
+def test_lm_score_follows_the_description():
+    code, predictors = lm_model()
+    for n, hopes in ((0, 0), (2, 0), (40, 1), (400, 0), (500, 1)):
+        text = prose(n).encode()
+        raw = np.frombuffer(text, np.uint8)
+        hoped = np.full(len(raw) + 1, -1, np.int16), np.zeros(len(raw) + 1, np.int16)
+        if hopes:
+            some = np.arange(len(raw)) % 3 > 0
+            hoped[0][:-1][some] = np.where(np.arange(len(raw)) % 7 == 2, ord("a"), raw)[some]
+            hoped[1][:-1][some] = 5
+        got = op2_mixing_lm.text_bits(raw, np.array([0, len(raw)]), code, predictors, hoped)[0]
+        assert abs(got - slow_bits(text, code, predictors, list(zip(*map(np.ndarray.tolist, hoped))))) < 0.002 * got, n
+
+
+def test_lm_score_does_not_depend_on_neighbours(monkeypatch):
     code, predictors = lm_model()
     texts = [prose(n) for n in (3, 900, 50, 2000)] + ["", prose(30000)]
     one = []
@@ -145,6 +207,40 @@ def test_lm_score_does_not_depend_on_neighbours():
     assert np.allclose(one, both, rtol=1e-5)
 
 
+def test_lm_state_goes_on_in_long_texts(monkeypatch):
+    """A text in one lane a batch costs about what it costs whole: weights and map aren't thrown away in between."""
+    code, predictors = lm_model()
+    raw = np.frombuffer(prose(4000).encode(), np.uint8)
+    whole = op2_mixing_lm.text_bits(raw, np.array([0, len(raw)]), code, predictors)[0]
+    monkeypatch.setattr(op2_mixing_lm, "BATCH", 1)
+    seen = []
+    real = op2_mixing_lm.code_lengths
+    monkeypatch.setattr(op2_mixing_lm, "code_lengths", lambda *a: seen.append(a[-1] is not None) or real(*a))
+    lanes = list(op2_mixing_lm.lanes(raw, np.array([0, len(raw)]), 1))
+    assert len(lanes) == -(-(len(raw) + 1) // op2_mixing_lm.LANE) and np.concatenate([x[0] for x in lanes])[-1] == 256
+    monkeypatch.setattr(op2_mixing_lm, "lanes", lambda *a: iter(lanes))
+    one = op2_mixing_lm.text_bits(raw, np.array([0, len(raw)]), code, predictors)[0]
+    assert seen == [False] + [True] * (len(lanes) - 1) and one < whole * 1.05
+
+
+def test_lm_partitions_add_up(spark):
+    """Tables and trees are the same however many partitions have counted, added in one step or in two."""
+    texts = spark.createDataFrame([(prose(50),) for _ in range(60)], "text string")
+    one, many = op2_mixing_lm.train(texts.coalesce(1), 1), op2_mixing_lm.train(texts.repartition(9), 9)
+    assert dict(one[1]) == dict(many[1]) and (one[0].length == many[0].length).all() and (one[0].bit == many[0].bit).all()
+
+
+def test_lm_matches_grow_with_the_corpus(spark):
+    """A held-out copy of a training text costs far less than a text of its kind; a training text doesn't match itself."""
+    texts = [prose(200) for _ in range(30)]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(100, texts[3], True), (101, prose(200), True), (102, texts[5], False)]
+    for settings in ({}, {"chunk_chars": 3000, "range_chars": 2000}):
+        got = {r.doc_id: r.bits / r.n_bytes for r in op2_mixing_lm.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"), **settings).collect()}
+        alone = sum(got[i] for i in range(30) if i not in (3, 5)) / 28
+        assert got[100] < 0.97 * alone and got[5] < 0.97 * alone and abs(got[5] - got[102]) < 1e-6 and got[101] > alone
+        assert min(got[i] for i in range(30) if i != 5) > 0.85 * alone
+
+
 def test_lm_held_out_bits(spark, data):
     """From few documents a byte of new ones costs less than half of what it takes."""
     got = [r for r in op2_mixing_lm.op2_mixing_lm(spark, data).collect() if r.held_out]
@@ -307,6 +403,26 @@ def test_surrogates_distinct_and_coreferent(spark):
     assert op5_surrogates.anonymize(table(spark, [])).count() == 0
 
 
+def test_surrogates_later_mentions():
+    text = "Mary Smith came. Later Smith left with Mary; Smithson stayed. Dr. Ivanka Petrova saw Petrova."
+    new, pairs = op5_surrogates.replace(text, op5_surrogates.detect(text))
+    words = new.replace(".", "").replace(";", "").split()
+    first, last = words[0], words[1]
+    assert {"Mary", "Smith", "Petrova"}.isdisjoint(words) and words[4] == last and words[7] == first and words[8] == "Smithson"
+    assert words[-1] == words[12] and len(pairs) == 5
+
+
+def test_surrogates_that_collide_are_drawn_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "call 555-123-4567 or 555-765-4321", "x"), (2, "555-765-4321 and a@b.example.org", None), (3, None, "y")], "doc_id long, text string, _entities string")
+    real = op5_surrogates.surrogate
+    monkeypatch.setattr(op5_surrogates, "surrogate", lambda kind, entity, key, attempt: "555-000-0000" if kind == "phone" and not attempt else real(kind, entity, key, attempt))
+    out = op5_surrogates.distinct_surrogates(docs)
+    assert out.columns == ["doc_id", "text", "_entities", "__entities"]
+    rows = {r.doc_id: r["__entities"] for r in out.collect()}
+    phones = {(e.digest, e.surrogate) for r in rows.values() for e in r if e.kind == "phone"}
+    assert len(phones) == 2 == len({s for _, s in phones}) and rows[3] == []
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -331,8 +447,7 @@ def jaccard_texts():
     return texts
 
 
-@pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
-@pytest.mark.parametrize("settings", [{}, {"most_tokens": 900, "range_chars": 3000}])
+@pytest.mark.parametrize("k, percent, settings", [(3, 90, {"most_tokens": 900, "range_chars": 3000}), (5, 80, {})])
 def test_jaccard_matches_brute_force(spark, k, percent, settings):
     texts = jaccard_texts()
     docs = table(spark, texts, n=1, root="x", set_id=3, key=2).repartition(3)
@@ -350,13 +465,32 @@ def test_jaccard_repeated_rows_and_empty_table(spark):
     assert op6_jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_jaccard_rows_without_doc_id_link(spark):
+    words = prose(200).split()
+    text, other = " ".join(words), " ".join([*words[:90], "zzzz", *words[91:]])
+    for a, b in ((None, 5), (None, None)):
+        rows = [(a, text), (b, other), (None, "a b c"), (7, "d e f")]
+        got = [(r.doc_id, r.n_links, r.component_id) for r in op6_jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        least = min((x for x in (a, b) if x is not None), default=None)
+        assert sorted(got, key=repr) == sorted([(a, 1, least), (b, 1, least), (None, 0, None), (7, 0, 7)], key=repr)
+
+
+def test_jaccard_large_classes_and_groups(spark, monkeypatch):
+    """With a low bound on what may be broadcast, hot and other keys go both ways and give the same."""
+    texts = jaccard_texts() + ["the same words in each of them"] * 40
+    docs = table(spark, texts).repartition(3)
+    one = sorted(map(tuple, op6_jaccard.join(docs, 3, 80).collect()))
+    monkeypatch.setattr("larkspur.llm.common.HOT", 20)
+    assert sorted(map(tuple, op6_jaccard.join(docs, 3, 80, most_tokens=900, range_chars=100).collect())) == one
+
+
 def test_jaccard_counts_every_link(spark):
     """Against all pairs of rows, with exact copies, chains, and groups cut into blocks."""
     texts = jaccard_texts()
     sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := [x.lower() for x in brute.spaced(t)]) else set() for t in texts]
     want = {i: sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
     assert max(want.values()) > 3
-    for settings in ({}, {"most_tokens": 900, "range_chars": 3000}):
+    for settings in ({"most_tokens": 900, "range_chars": 3000},):
         got = {r.doc_id: r.n_links for r in op6_jaccard.join(table(spark, texts).repartition(3), 3, 80, **settings).collect()}
         assert got == want
 
@@ -403,7 +537,7 @@ def test_warc_revisits_and_odd_rows(spark):
     x, empty = op7_warc.digest(b"x"), op7_warc.digest(b"")
     assert got[5] == [(1, x, "revisit", 3)] and got[3] == [(1, x, "response", None)] * 2
     assert got[9] == [(0, empty, "response", None)] and got[10] == [(0, empty, "revisit", 9)]
-    assert got[None] == [(1, x, "response", None)]
+    assert got[None] == [(1, x, "revisit", 3)]
     assert got[12] == [(100000, op7_warc.digest(("é" * 50000).encode()), "response", None)] and got[11][0][2] == "response"
     again = {r.record_type for r in op7_warc.read(op7_warc.archive(pages, least=2)).collect()}
     assert again == {"response"}
@@ -423,10 +557,22 @@ def test_arc_versions_round_trip(tmp_path, spark):
     done = op7_warc.convert_files(spark, str(tmp_path / "*.arc"))
     assert op7_warc.export(done, str(tmp_path / "out")) == 2
     got = list(op7_warc.read_warc((tmp_path / "out" / "v2.warc.gz").read_bytes()))
+    assert got[0].headers["WARC-Type"] == "warcinfo" and got[0].headers["WARC-Filename"] == "v2.arc" and b"Archive-length" in got[0].block
+    got = got[1:]
     assert [g.headers["WARC-Target-URI"] for g in got] == [r.url for r in records] and got[3].block == records[3].block
     assert got[0].headers["WARC-Date"] == "2000-01-01T00:00:00Z"
 
 
+def test_warc_types_and_references():
+    dns = op7_warc.convert(op7_warc.ArcRecord("dns:example.com", "1.2.3.4", "20010203", "text/dns", b"20010203\nexample.com. 1 IN A 1.2.3.4"))
+    assert dns.headers["WARC-Type"] == "resource" and dns.headers["Content-Type"] == "text/dns" and dns.headers["WARC-Date"] == "2001-02-03T00:00:00Z"
+    first, second = (op7_warc.page_record(i, f"http://h/{i}", "x") for i in (3, 8))
+    a, b = op7_warc.convert(first), op7_warc.convert(second, (3, "http://h/3"))
+    assert b.headers["WARC-Type"] == "revisit" and b.headers["WARC-Refers-To"] == a.headers["WARC-Record-ID"]
+    assert (b.headers["WARC-Refers-To-Target-URI"], b.headers["WARC-Refers-To-Date"]) == (a.headers["WARC-Target-URI"], a.headers["WARC-Date"])
+    assert next(op7_warc.read_warc(op7_warc.member(b))).block.endswith(b"\r\n\r\n")
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------------
 
 
@@ -523,6 +669,38 @@ def test_mixing_draw(spark):
     assert op9_mixing.mix(df.limit(0)).count() == 0 and op9_mixing.draw(df.limit(0)).count() == 0
 
 
+def test_mixing_draw_of_repeated_rows_and_clashing_columns(spark):
+    """Rows that share a doc_id keep their own sizes; alike ones are drawn as often as they are there; a shard is one partition."""
+    rows = [(i % 20, prose(rng.randint(1, 40)), ["a", "b", None][i % 3], i, "x") for i in range(120)]
+    rows += [rows[5]] * 4 + [(None, "u v w", "a", 1, "x")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, Shard int, shard_in string").repartition(4)
+    taken = sum(r.taken for r in op9_mixing.mix(df, block_docs=4).collect())
+    out = op9_mixing.draw(df, block_docs=4, shards=8)
+    assert out.columns == ["doc_id", "text", "source", "Shard_in_in", "shard_in", "pass", "taken_words", "shard", "place"]
+    got = out.rdd.mapPartitionsWithIndex(lambda i, part: ((i, r) for r in part)).collect()
+    assert sum(r.taken_words for _, r in got) == taken and all(r.taken_words <= len(r.text.split()) for _, r in got)
+    where, last = {}, {}
+    for i, r in got:
+        assert where.setdefault(r.shard, i) == i and last.get(r.shard, r.place) <= r.place
+        last[r.shard] = r.place
+    assert sorted((r.doc_id or -1, r.text, r["pass"], r.shard) for _, r in got) == sorted((r.doc_id or -1, r.text, r["pass"], r.shard) for r in op9_mixing.draw(df.repartition(3), block_docs=4, shards=8).collect())
+
+
+def test_mixing_quotas_by_shard_and_source(spark):
+    """The counts at the leaves are what the tree's halving gives, and every drawn block is dealt once."""
+    df = table(spark, [prose(rng.randint(1, 60)) for _ in range(200)])
+    _, drawn = op9_mixing.plan(df, block_docs=4)
+    out = op9_mixing.tickets(drawn, 8).collect()
+    want = {(d.skey, d.block, p) for d in drawn.collect() for p in range(d.passes + (d.part > 0))}
+    assert {(r.skey, r.block, r["pass"]) for r in out} == want and len(out) == len(want)
+    sizes = [sum(r.shard == s for r in out) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == len(want)
+    by_source = {}
+    for r in out:
+        by_source.setdefault(r.skey, []).append(r.shard)
+    assert all(len(set(shards)) > 1 for shards in by_source.values() if len(shards) > 8)
+
+
 def test_mixing_rows_come_from_the_deal(spark, monkeypatch):
     df = table(spark, [prose(rng.randint(1, 60)) for _ in range(200)] + ["", None])
     full = {r.doc_id: (r.taken, r.copies) for r in op9_mixing.mix(df, block_docs=8).collect()}
@@ -541,7 +719,7 @@ def test_mixing_rows_come_from_the_deal(spark, monkeypatch):
 # 10 -----------------------------------------------------------------------------------------------------------------------
 
 
-def slow_bits(text, grams):
+def slow_cost(text, grams):
     """The cost of a text by the definition, from counts of (context, byte) of orders 0 to 3."""
     from math import log2
 
@@ -581,7 +759,7 @@ def test_language_costs_follow_the_definition():
                     for k in range(4):
                         one = grams[k].setdefault(r[i - k : i], {})
                         one[r[i]] = one.get(r[i], 0) + 1
-            assert abs(slow_bits(text, grams) - got[j]) < 1e-2, (text, lang)
+            assert abs(slow_cost(text, grams) - got[j]) < 1e-2, (text, lang)
 
 
 def test_language_predictions(spark):
