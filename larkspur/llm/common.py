@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,16 +31,9 @@ def fold(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
-_own: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not _own:
-            _own.append(f"file://{tempfile.mkdtemp(prefix='larkspur-')}")
-        path = _own[0]
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, one in the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return path.rstrip("/")
 
 
@@ -65,6 +57,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that has at least this share of all rows is hot; there are at most so many of them, so they can be broadcast.
+HOT = 1 << 16
+
+
+def join_hot(rows: DataFrame, labels: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with labels on key (inner or left); labels has one row a key, and count: its rows of all total ones.
+
+    The labels of hot keys, at most HOT of them, are broadcast, and only the other keys' rows are shuffled."""
+    hot = F.col(count) * HOT >= total
+    met = rows.join(F.broadcast(labels.filter(hot).drop(count).withColumn("_hot", F.lit(True))), key, "left")
+    few = met.filter("_hot").drop("_hot")
+    return few.unionByName(met.filter("_hot IS NULL").select(*rows.columns).join(labels.filter(~hot).drop(count), key, how))
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, valid) of a string column without copying; offsets has one more entry than rows."""
     if isinstance(col, pa.ChunkedArray):

@@ -17,6 +17,9 @@ trees of `sigtree`; the steps before only bring together what could link, and no
    star for each component of its links, so a group of near copies costs comparisons but not a row for each pair.
 4. Links become components with the smallest doc_id as their name; a document links with all others of its own set, too.
 
+What one key may hold a third of (a class of copies, a common shingle, the least node of a component) is joined by broadcast of
+its one label, so no task gets all rows of it; at most 65,536 keys are that frequent.
+
 Defined cases: a null text or one without words has an empty set, links with nothing, and is a component of its own; rows
 that repeat a doc_id take part each and are one document to `keep_one`; a null doc_id takes part and names a component only
 if it has no other; an empty table gives no rows; texts of any length are read whole; extra columns are ignored, and kept
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import sigtree
-from .common import FOLD, materialize, slices, table, utf8
+from .common import FOLD, join_hot, materialize, slices, table, utf8
 from .graph import components
 
 SHINGLE, PERCENT, NEAR_SHINGLE, NEAR_PERCENT = 3, 90, 5, 80
@@ -67,8 +70,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, first word of each text and the number of all): a word is a polynomial of its bytes."""
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes of all texts, first byte of every word, the byte behind it)."""
     data = _FOLD[raw[off[0] : off[-1]]]
     begin, n = off - off[0], len(data)
     sep = _SEP[data]
@@ -78,7 +81,11 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     start[1:] &= sep[:-1] | new[1:n]
     stop = ~sep
     stop[:-1] &= sep[1:] | new[1:n]
-    first, last = np.flatnonzero(start), np.flatnonzero(stop) + 1
+    return data, np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hash of every word: a polynomial of its bytes."""
     out, done = np.empty(len(first), np.uint64), 0
     while done < len(first):  # some MB at a time; a word is never cut
         a = first[done]
@@ -88,7 +95,13 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         np.cumsum(_RANDOM[data[a:b]] * _power(_BASE, b - a), out=sums[1:])
         out[done:upto] = (sums[last[done:upto] - a] - sums[first[done:upto] - a]) * _power(_BACK, b - a)[first[done:upto] - a]
         done = upto
-    return mix(out), np.searchsorted(first, begin)
+    return mix(out)
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of each text and the number of all)."""
+    data, first, last = word_spans(raw, off)
+    return span_hashes(data, first, last), np.searchsorted(first, off - off[0])
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,31 +161,43 @@ def _binary(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa
 # 1. Documents whose shingles are nearly all shared ------------------------------------------------------------------------
 
 
+def _small(values: np.ndarray) -> bytes:
+    """Numbers as 16 bits if they fit, else 32."""
+    return values.astype(np.uint32 if len(values) and values.max() > 0xFFFF else np.uint16).tobytes()
+
+
+def _large(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64)
+
+
 def _spread(k: int, bits: int):
-    """Chunks of documents to (src, r, counts, once, more, meta): numbers of the chunk's single shingles in range r for each
-    document, these shingles, those that it has more than once, and, with r = 0, the documents."""
+    """Chunks of documents to (src, r, n, docs, counts, once, more, meta), a row for each range r of the hash that has any:
+    the n documents with single shingles (within the chunk) there, and how many, these shingles, those that the chunk has
+    more than once, and, in its first row, the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", CHUNK):
             raw, off, _ = utf8(batch.column("text"))
             tokens, offsets = shingle_sets(raw, off, k)
-            n = batch.num_rows
+            size = batch.num_rows
             order = np.argsort(tokens, kind="stable")
             again = np.zeros(len(tokens), bool)
             again[order] = _repeated(tokens[order]) if len(tokens) else False
-            more = np.unique(tokens[again])
-            doc = np.repeat(np.arange(n), np.diff(offsets))[~again]
             ranges, low = _cut(tokens[~again], bits)
-            by_range = np.argsort(ranges, kind="stable")
-            counts = np.bincount(ranges * n + doc, minlength=n << bits).reshape(1 << bits, n).astype(np.uint32)
-            ends = np.searchsorted(ranges[by_range], np.arange((1 << bits) + 1))
-            low = low[by_range]
-            more_range, more_low = _cut(more, bits)
-            more_ends = np.searchsorted(more_range, np.arange((1 << bits) + 1))
+            pair = ranges * size + np.repeat(np.arange(size), np.diff(offsets))[~again]
+            by_range = np.argsort(pair, kind="stable")
+            pair, low = pair[by_range], low[by_range]
+            head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else np.empty(0, np.int64)
+            counts, of, doc = np.diff(head, append=len(pair)), pair[head] // size, pair[head] % size
+            more_range, more_low = _cut(np.unique(tokens[again]), bits)
+            filled = np.unique(np.concatenate([[0], of, more_range]))
+            cuts = [[np.searchsorted(x, filled, side) for side in ("left", "right")] for x in (of, ranges[by_range], more_range)]
             meta = pickle.dumps((batch.column("doc_id").to_pylist(), np.diff(offsets), set_ids(tokens, offsets)))
-            rows = [(src, r, counts[r].tobytes(), low[ends[r] : ends[r + 1]].tobytes(), more_low[more_ends[r] : more_ends[r + 1]].tobytes(), meta if r == 0 else None) for r in range(1 << bits)]
-            yield _binary(rows, ["src", "r", "counts", "once", "more", "meta"], [pa.int64(), pa.int32(), *[pa.binary()] * 4])
+            rows = []
+            for r, a, b, c, d, e, f in zip(filled.tolist(), *(x.tolist() for cut in cuts for x in cut), strict=True):
+                rows.append((src, r, b - a, _small(doc[a:b]), _small(counts[a:b]), low[c:d].tobytes(), more_low[e:f].tobytes(), meta if r == 0 else None))
+            yield _binary(rows, ["src", "r", "n", "docs", "counts", "once", "more", "meta"], [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5])
             src += 1
 
     return run
@@ -182,35 +207,35 @@ def _alone(group: pa.Table) -> pa.Table:
     """For each chunk and document, how many of its shingles in this range are in no other document."""
     once = [np.frombuffer(x.as_py(), np.uint32) for x in group["once"]]
     more = [np.frombuffer(x.as_py(), np.uint32) for x in group["more"]]
-    counts = [np.frombuffer(x.as_py(), np.uint32) for x in group["counts"]]
+    n = group["n"].to_pylist()
     every = np.concatenate([*once, *more])
     order = np.argsort(every, kind="stable")
     alone = np.ones(len(every), bool)
     if len(every):
         alone[order] = ~_repeated(every[order])
     out, place = [], 0
-    for own, count in zip(once, counts, strict=True):
-        ends = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-        out.append(_sums(alone[place : place + len(own)].astype(np.int64), ends).astype(np.uint32).tobytes())
+    for own, data, docs in zip(once, group["counts"], n, strict=True):
+        ends = np.concatenate([[0], np.cumsum(_large(data.as_py(), docs))])
+        out.append(_small(_sums(alone[place : place + len(own)].astype(np.int64), ends)))
         place += len(own)
-    return pa.table([group["src"], pa.array(out, pa.binary()), group["meta"]], names=["src", "alone", "meta"])
+    return pa.table([group["src"], group["n"], group["docs"], pa.array(out, pa.binary()), group["meta"]], names=["src", "n", "docs", "alone", "meta"])
 
 
 def _documents(group: pa.Table) -> pa.Table:
     """doc_id, n, set_id, alone of a chunk."""
-    ids, n, sets = pickle.loads(next(x.as_py() for x in group["meta"] if x.is_valid))
+    ids, size, sets = pickle.loads(next(x.as_py() for x in group["meta"] if x.is_valid))
     alone = np.zeros(len(ids), np.int64)
-    for part in group["alone"]:
-        alone += np.frombuffer(part.as_py(), np.uint32)
-    return pa.table([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sets, pa.int64()), pa.array(alone)], names=["doc_id", "n", "set_id", "alone"])
+    for n, docs, part in zip(group["n"].to_pylist(), group["docs"], group["alone"], strict=True):
+        alone[_large(docs.as_py(), n)] += _large(part.as_py(), n)  # a document stands once in a range
+    return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(sets, pa.int64()), pa.array(alone)], names=["doc_id", "n", "set_id", "alone"])
 
 
 def describe(docs: DataFrame, k: int, range_chars: int = RANGE_CHARS) -> DataFrame:
     """doc_id, n (size of the set), set_id, alone (shingles that no other document has) for each row of docs."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(16, max(0, int(chars // range_chars)).bit_length())
-    spread = docs.mapInArrow(_spread(k, bits), "src long, r int, counts binary, once binary, more binary, meta binary")
-    alone = spread.groupBy("r").applyInArrow(_alone, "src long, alone binary, meta binary")
+    bits = max(0, int(chars // range_chars)).bit_length()
+    spread = docs.mapInArrow(_spread(k, bits), "src long, r long, n long, docs binary, counts binary, once binary, more binary, meta binary")
+    alone = spread.groupBy("r").applyInArrow(_alone, "src long, n long, docs binary, alone binary, meta binary")
     return materialize(alone.groupBy("src").applyInArrow(_documents, "doc_id long, n long, set_id long, alone long"), "jaccard-documents")
 
 
@@ -239,10 +264,10 @@ def _ask(bits: int):
         _, sets = _read(group)
         tokens, count = np.unique(np.concatenate(sets), return_counts=True)
         ranges, low = _cut(tokens, bits)
-        ends = np.searchsorted(ranges, np.arange((1 << bits) + 1))
-        src = group["src"][0].as_py()
-        rows = [(src, r, low[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-        return pa.table(_binary(rows, ["src", "r", "low", "count"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]).columns, names=["src", "r", "low", "count"])
+        filled, begin = np.unique(ranges, return_index=True)
+        src, ends = group["src"][0].as_py(), [*begin[1:].tolist(), len(tokens)]
+        rows = [(src, r, low[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()) for r, a, b in zip(filled.tolist(), begin.tolist(), ends, strict=True)]
+        return pa.table(_binary(rows, ["src", "r", "low", "count"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()]).columns, names=["src", "r", "low", "count"])
 
     return run
 
@@ -281,14 +306,14 @@ def _keys(bits: int, percent: int):
 def groups(sets: DataFrame, percent: int) -> DataFrame:
     """node, root: for sets(set_id, n, tokens) that could link with another, a group that holds all its links."""
     n_sets, n_tokens = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bits = min(16, int(n_tokens // TASK_TOKENS).bit_length())
+    bits = int(n_tokens // TASK_TOKENS).bit_length()
     chunks = max(1, -(-n_sets // SETS_A_CHUNK), -(-n_tokens // TASK_TOKENS))
     dealt = sets.withColumn("src", F.pmod(F.xxhash64("set_id"), F.lit(chunks)).cast("long"))
-    asked = dealt.groupBy("src").applyInArrow(_ask(bits), "src long, r int, low binary, count binary")
-    answers = asked.groupBy("r").applyInArrow(_answer, "src long, r int, total binary")
+    asked = dealt.groupBy("src").applyInArrow(_ask(bits), "src long, r long, low binary, count binary")
+    answers = asked.groupBy("r").applyInArrow(_answer, "src long, r long, total binary")
     keys = materialize(dealt.groupBy("src").cogroup(answers.groupBy("src")).applyInArrow(_keys(bits, percent), "key long, set_id long"), "jaccard-keys")
-    least = keys.groupBy("key").agg(F.min("set_id").alias("v"), F.max("set_id").alias("w")).filter("v < w").select("key", "v")
-    stars = keys.join(least, "key").filter("set_id <> v").select(F.col("set_id").alias("u"), "v").distinct()
+    least = keys.groupBy("key").agg(F.min("set_id").alias("v"), F.max("set_id").alias("w"), F.count("*").alias("held")).filter("v < w").select("key", "v", "held")
+    stars = join_hot(keys, least, "key", "held", keys.count()).filter("set_id <> v").select(F.col("set_id").alias("u"), "v").distinct()
     return components(stars)
 
 
@@ -366,10 +391,13 @@ def link(sets: DataFrame, grouped: DataFrame, percent: int, copies: DataFrame, m
     if not some:
         found = materialize(stars, "jaccard-links")
         return found.filter("v IS NOT NULL").select(F.col("u").alias("node"), F.col("v").alias("root")), _counted(found)
-    run = Window.partitionBy("root").orderBy("n", "set_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = held.join(large, F.col("root") == F.col("big"), "left_semi").select("set_id", "n", "root")
-    cut = cut.withColumn("block", F.floor(F.coalesce(F.sum("n").over(run), F.lit(0)) / (most_tokens // 2)).cast("int"))
-    cut = materialize(cut, "jaccard-blocks")
+    # A set's place among its group's tokens in order of size, from sums over sizes; sets of one size are spread by a hash.
+    run = Window.partitionBy("root").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    cut = held.join(F.broadcast(large), F.col("root") == F.col("big"), "left_semi").select("set_id", "n", "root")
+    place = cut.groupBy("root", "n").agg(F.sum("n").alias("own")).withColumn("before", F.coalesce(F.sum("own").over(run), F.lit(0)))
+    share = F.pmod(F.xxhash64(F.lit(3), "set_id"), F.lit(1 << 20)) / (1 << 20)
+    cut = cut.join(place, ["root", "n"]).withColumn("block", F.floor((F.col("before") + F.col("own") * share) / (most_tokens // 2)).cast("int"))
+    cut = materialize(cut.select("set_id", "n", "root", "block"), "jaccard-blocks")
     blocks = cut.groupBy("root", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     first, second = (blocks.select("root", F.col("block").alias(b), F.col("least").alias(f"least_{b}"), F.col("most").alias(f"most_{b}")) for b in "ij")
     near = (F.col("i") <= F.col("j")) & (F.col("most_i") * 100 >= F.col("least_j") * percent)
@@ -392,17 +420,26 @@ def join(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, most_tokens:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = describe(texts, k, range_chars)
     classes = rows.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min("alone").alias("alone"), F.count("*").alias("copies"))
-    open_ = classes.filter(F.col("n") - F.col("alone") >= F.ceil(F.col("n") * percent / 100)).select("rep")
-    sets = materialize(texts.join(open_, texts["doc_id"] == open_["rep"], "left_semi").mapInArrow(_sets(k), "set_id long, n long, tokens binary"), "jaccard-sets")
+    classes = materialize(classes, "jaccard-classes")
+    open_ = classes.filter(F.col("n") - F.col("alone") >= F.ceil(F.col("n") * percent / 100)).select("rep", "set_id")
+    kind = "set_id long, n long, tokens binary"
+    sets = texts.join(open_.hint("merge"), texts["doc_id"] == open_["rep"], "left_semi").mapInArrow(_sets(k), kind)
+    # Classes without any doc_id have no representative to ask for: their rows are found by their sets.
+    nameless = texts.filter("doc_id IS NULL").mapInArrow(_sets(k), kind).join(open_.filter("rep IS NULL").select("set_id"), "set_id", "left_semi")
+    sets = materialize(sets.unionByName(nameless.dropDuplicates(["set_id"])), "jaccard-sets")
     copies = classes.select(F.col("set_id").alias("of"), "copies")
     linked, counted = link(sets, groups(sets, percent), percent, copies, most_tokens)
-    degree = copies.join(counted, "of", "left").select("of", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("degree"))
-    named = rows.join(linked, rows["set_id"] == linked["node"], "left").join(degree, F.col("set_id") == F.col("of"), "left")
-    n_links = F.when(F.col("n") > 0, F.coalesce("degree", F.lit(0))).otherwise(F.lit(0)).alias("n_links")
-    named = named.select("doc_id", "n", n_links, F.when(F.col("n") > 0, F.coalesce("root", "set_id")).alias("name"))
-    least = named.filter("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "name", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
+    # Components and links are settled among classes; then each row meets its class's label.
+    named = classes.join(linked, F.col("set_id") == F.col("node"), "left").join(counted, F.col("set_id") == F.col("of"), "left")
+    named = named.select("set_id", "rep", "copies", F.coalesce("root", "set_id").alias("name"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).filter("n_links > 0")
+    named = materialize(named, "jaccard-named")
+    least = named.groupBy("name").agg(F.min("rep").alias("component_id"), F.count("*").alias("held"))
+    labels = join_hot(named, least, "name", "held", named.count()).select("set_id", "component_id", "n_links", "copies")
+    labels = materialize(labels, "jaccard-labels")
+    some, label = rows.filter("n > 0"), F.coalesce("component_id", "doc_id").alias("component_id")
+    met = join_hot(some, labels, "set_id", "copies", some.count(), "left").select("doc_id", F.col("n").alias("n_shingles"), label, F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return met.unionByName(empty)
 
 
 def keep_one(docs: DataFrame, k: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT) -> DataFrame:
@@ -413,11 +450,6 @@ def keep_one(docs: DataFrame, k: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("n_links")
-
-
-def op6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join with each document's number of links; its SQL has no such column, so it is a query of its own."""
     return join(table(spark, sf_dir, "documents"))
 
 
@@ -431,8 +463,8 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 r AS (SELECT doc_id, doc_id AS far FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.far = l.a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(far) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id"""
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) k USING (doc_id) JOIN (SELECT doc_id, min(far) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id"""
 
 
 ORACLE = _sql()

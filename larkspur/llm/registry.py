@@ -11,7 +11,6 @@ QUERIES = {
     "op4_decontamination": op4_decontamination.op4_decontamination,
     "op5_surrogates": op5_surrogates.op5_surrogates,
     "op6_jaccard": op6_jaccard.op6_jaccard,
-    "op6_links": op6_jaccard.op6_links,
     "op7_warc": op7_warc.op7_warc,
     "op8_licences": op8_licences.op8_licences,
     "op9_mixing": op9_mixing.op9_mixing,
