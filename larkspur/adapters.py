@@ -58,10 +58,10 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, kind, tier, site_line: a sparse call graph over parts, from the line items of few orders.
+    """src, dst, kind, tier, site_line: a call graph over parts, from all line items.
 
     A part calls the part of the next line of its order; the return flag gives the tier."""
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 10 == 0)
+    li = table(spark, sf_dir, "lineitem")
     a, b = li.alias("a"), li.alias("b")
     on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)
     calls = a.join(b, on).select(F.col("a.l_partkey").alias("src"), F.col("b.l_partkey").alias("dst"), F.col("a.l_returnflag").alias("flag"), F.col("a.l_linenumber").alias("site_line"))

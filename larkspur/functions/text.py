@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 TASK_STOP_WORDS = [
     "the", "and", "for", "with", "that", "this", "its", "it", "a", "an", "to", "in", "of", "on", "at", "by", "is", "are", "be", "was",
     "were", "or", "as", "so", "we", "our", "my", "your", "into", "from", "when", "then", "than", "them", "they", "there", "all", "any", "can", "will",
+    "should", "must", "not", "but", "how", "what", "why", "fix", "add", "implement", "support", "make", "create", "update", "remove", "change",
+    "refactor", "improve", "ensure", "allow", "use", "need", "want", "please", "new", "also", "file", "files", "code", "feature", "bug", "task", "issue",
 ]
 SHORT_STOP_WORDS = ["am", "an", "as", "at", "be", "by", "do", "go", "he", "if", "in", "is", "it", "me", "my", "no", "of", "on", "or", "so", "to", "up", "us", "we"]
 # How texts begin, or what they hold, that programs have put into a user's turn.
-ORCHESTRATOR_PREFIXES = ["<system-reminder>", "<task-notification>", "<command-name>", "<local-command", "<user-prompt-submit-hook>", "[Request interrupted", "Caveat: The messages below"]
+ORCHESTRATOR_PREFIXES = [
+    "<system-reminder>", "<task-notification>", "<command-name>", "<command-message>", "<local-command", "<bash-input>", "[SYSTEM NOTIFICATION",
+    "Caveat: The messages below", "[Request interrupted",
+]
+ORCHESTRATOR_MARKERS = ["CMUX agent handoff", "cmux-agent-send --queue"]
+# Further ones that the programs of two stores put in.
+STORE_PREFIXES = {
+    "codex": ["<user_instructions>", "<environment_context>", "<turn_aborted>", "<skills_instructions>", "<permissions_context>", "<recommended_plugins>", "<codex_internal_context", "# AGENTS.md instructions"],
+    "cursor": ["<hooks_context", "<additional_data"],
+}
 DIAGNOSTIC = r"^(.+)\((\d+),(\d+)\): error (TS\d+): (.*)$"
 
 
@@ -78,13 +89,16 @@ def estimate_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long")
 
 
-def intent(text: Column, prefixes: list[str] = ORCHESTRATOR_PREFIXES, markers: list[str] = ()) -> Column:
-    """human, or orchestrator if a program wrote it."""
+def intent(text: Column, agent: Column | None = None) -> Column:
+    """human, or orchestrator if a program wrote it; with the store's agent, by its own list, too."""
     trimmed, by_program = F.ltrim(F.regexp_replace(text, r"^\s+", "")), F.lit(False)
-    for p in prefixes:
+    for p in ORCHESTRATOR_PREFIXES:
         by_program = by_program | F.startswith(trimmed, F.lit(p))
-    for m in markers:
+    for m in ORCHESTRATOR_MARKERS:
         by_program = by_program | F.contains(trimmed, F.lit(m))
+    for name, prefixes in STORE_PREFIXES.items() if agent is not None else ():
+        for p in prefixes:
+            by_program = by_program | ((agent == name) & F.startswith(trimmed, F.lit(p)))
     return F.when(by_program, F.lit("orchestrator")).otherwise(F.lit("human"))
 
 

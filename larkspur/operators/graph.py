@@ -14,9 +14,12 @@ from larkspur.operators.lineage import cut
 CALLABLE = ["function", "method", "class", "struct"]
 SELF = ["self", "Self", "this", "crate", "super"]
 RISKS = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
-# How names and paths of tests look.
-TEST_NAMES = ["test%", "%_test", "%Test", "it_%", "should_%"]
-TEST_PATHS = ["%test/%", "%tests/%", "%spec/%", "%__tests__/%", "%.test.%", "%.spec.%", "%_test.%", "%fixtures/%", "%bench/%", "%benches/%", "%examples/%", "%mock%"]
+# How names and paths of tests look (case doesn't count, _ is any character).
+TEST_NAMES = ["test_%", "test%", "%_test", "%Test", "%_tests", "%Tests", "it_%", "it%", "spec_%", "should_%", "expect_%"]
+TEST_PATHS = [
+    "tests/%", "%/tests/%", "test/%", "%/test/%", "%/__tests__/%", "benches/%", "%/benches/%", "%.test.ts", "%.test.tsx", "%.spec.ts", "%.spec.tsx",
+    "%_test.go", "test_%.py", "%/test_%.py",
+]
 
 
 def kind_priority(kind: Column) -> Column:
@@ -219,8 +222,9 @@ def impact_summary(rows: DataFrame, files: DataFrame, processes: DataFrame | Non
 
 
 def trace(edges: DataFrame, source, target, most: int = 8) -> DataFrame:
-    """found, depth, path: a shortest path over calls and has_method, the smallest by nodes; or the first node of those
-    that lie deepest. Each node keeps one path, so a level has a row for each new node."""
+    """found, depth, path, furthest: a shortest path over calls and has_method, the smallest by nodes; without one, depth and
+    path are null and furthest is the first node of those that lie deepest (null if the start leads nowhere). Each node keeps
+    one path, so a level has a row for each new node."""
     way = edges.filter("kind IN ('calls', 'has_method')").select("src", "dst").distinct()
     spark = edges.sparkSession
     level = spark.createDataFrame([(source, [source])], f"id {dict(way.dtypes)['src']}, path array<{dict(way.dtypes)['src']}>")
@@ -228,7 +232,7 @@ def trace(edges: DataFrame, source, target, most: int = 8) -> DataFrame:
     for d in range(most + 1):
         hit = level.filter(F.col("id") == target)
         if d and not hit.isEmpty() or source == target:
-            return hit.select(F.lit(True).alias("found"), F.lit(d).alias("depth"), "path")
+            return hit.select(F.lit(True).alias("found"), F.lit(d).alias("depth"), "path", F.lit(None).cast(dict(way.dtypes)["src"]).alias("furthest"))
         if d == most:
             break
         near = level.join(way, level["id"] == way["src"]).groupBy("dst").agg(F.min("path").alias("path"))
@@ -237,7 +241,9 @@ def trace(edges: DataFrame, source, target, most: int = 8) -> DataFrame:
         if new.isEmpty():
             break
         level, seen = new, seen.select("id").unionByName(new.select("id"))
-    return level.orderBy("id").limit(1).select(F.lit(False).alias("found"), (F.size("path") - 1).alias("depth"), "path")
+    none = F.lit(None)
+    last = F.when(F.size("path") > 1, F.col("id")).alias("furthest")
+    return level.orderBy("id").limit(1).select(F.lit(False).alias("found"), none.cast("int").alias("depth"), none.cast(level.schema["path"].dataType).alias("path"), last)
 
 
 def entry_points(edges: DataFrame, nodes: DataFrame) -> DataFrame:

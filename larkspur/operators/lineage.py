@@ -1,15 +1,19 @@
-"""Cutting the lineage of iterations."""
+"""Cutting the lineage of iterations, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a folder in the warehouse, which all of a cluster's machines reach as well."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder that the session names; to one of our own only where it names none."""
+    """df, computed and written to the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='larkspur-')}")
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

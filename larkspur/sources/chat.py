@@ -284,7 +284,7 @@ def read_store(spark: SparkSession, agent: str, root: str, starts: dict[str, int
 
 def sessions(turns: DataFrame) -> DataFrame:
     """session_id, agent, cwd, parent, title, first and last time, turn_count of what read_store gives."""
-    human = (F.col("role") == "user") & (fn.intent(F.col("text")) == "human")
+    human = (F.col("role") == "user") & (fn.intent(F.col("text"), F.col("agent")) == "human")
     first = F.coalesce(F.min(F.when(human, F.struct("seq", "text")))["text"], F.min(F.struct("seq", "text"))["text"])
     return turns.groupBy("agent", "session_id").agg(
         F.max("cwd").alias("cwd"), F.max("parent").alias("parent"), F.bool_or("is_subagent").alias("is_subagent"), fn.title_of(first).alias("title"),
