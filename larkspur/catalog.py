@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur import queries, stream_queries
+from larkspur import queries, scalar_queries, stream_queries  # noqa: F401  (scalar_queries adds to queries)
 
 QUERIES = queries.QUERIES | stream_queries.QUERIES
 ORACLE_SQL = queries.ORACLE_SQL | stream_queries.ORACLE_SQL

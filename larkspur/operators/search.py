@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as fn
+from larkspur.operators.lineage import shared_dir
 from larkspur.plans import regex as rx
 from larkspur.plans.grams import Extractor
 
@@ -51,6 +54,24 @@ def open_index(spark: SparkSession, path: str, extractor: Extractor | None = Non
     return spark.read.schema("gram STRING, path STRING").parquet(f"{path}/postings")
 
 
+def stored_index(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
+    """The postings of files(path, content) read from Parquet, written to the shared folder at first use and found again by
+    what the table's files are: their names, sizes and times."""
+    spark, extractor = files.sparkSession, extractor or Extractor()
+    fs_path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = sorted(files.inputFiles())
+    status = [(p, s.getLen(), s.getModificationTime()) for p in parts for s in [fs_path(p).getFileSystem(conf).getFileStatus(fs_path(p))]]
+    mark = hashlib.sha256(repr((status, files.columns)).encode()).hexdigest()[:24]
+    home = f"{shared_dir(spark)}/larkspur-index/{extractor.id}-{mark}"
+    fs = fs_path(home).getFileSystem(conf)
+    if not fs.exists(fs_path(f"{home}/meta/_SUCCESS")):
+        aside = f"{home}-{uuid.uuid4().hex}"
+        write_index(files, aside, extractor)
+        if not fs.rename(fs_path(aside), fs_path(home)):  # another session was first
+            fs.delete(fs_path(aside), True)
+    return open_index(spark, home, extractor)
+
+
 def candidates(index: DataFrame, plan: rx.Plan, universe: DataFrame) -> DataFrame:
     """path: files of universe whose grams fulfil the plan. Only the plan's grams are read from the index."""
     wanted = rx.grams_of(plan)
@@ -93,12 +114,14 @@ class Page:
 
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> Page:
     """A page in a total order, and whether anything follows it."""
-    held = rows.orderBy(*order).offset(offset).limit(limit + 1)
-    return Page(held.limit(limit), held.count() > limit, offset)
+    spark, held = rows.sparkSession, rows.orderBy(*order).offset(offset).limit(limit + 1).collect()  # a page: few rows
+    return Page(spark.createDataFrame(held[:limit], rows.schema).orderBy(*order), len(held) > limit, offset)
 
 
 def search(files: DataFrame, pattern: str, index: DataFrame | None = None, prefixes: list[str] = (), extractor: Extractor | None = None) -> DataFrame:
-    """path, line, text of all matches. With an index, only candidates of the pattern's plan are read and verified."""
+    """path, line, text of all matches. With an index, only candidates of the pattern's plan are read and verified.
+
+    Files above MOST_BYTES or with a NUL near their start are not searched."""
     files = within(indexable(files), list(prefixes))
     if index is not None:
         plan = rx.plan_pattern(pattern, extractor)

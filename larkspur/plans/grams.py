@@ -1,18 +1,21 @@
-"""N-grams of texts: trigrams as Column expressions, sparse n-grams by a monotonic hull."""
+"""N-grams of texts: trigrams, and sparse n-grams by the weights of their windows.
+
+Grams are of characters: a gram never cuts one, so a literal's grams are those of any text that holds it. Whole columns are
+cut with arrays over the bytes of an Arrow batch; the functions on single strings cover literals, at the driver.
+"""
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def trigrams(text: Column) -> Column:
-    """The distinct trigrams (of characters) of a text: one pass of a look-ahead, for places by number cost a scan each."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), 1))
+#: Bytes of texts that are cut at once.
+PIECE = 1 << 20
 
 
 def cover_trigrams(literal: str) -> list[str]:
@@ -68,14 +71,125 @@ def cover_sparse(literal: str, least: int = 3, most: int = 8, weigh=crc_weight)
     return list(dict.fromkeys(literal[a:b] for a, b in kept))
 
 
-def sparse_udf(least: int = 3, most: int = 8):
-    @F.pandas_udf("array<string>")
-    def grams(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sparse_grams(t, least, most) if t else [])
+# Columns ------------------------------------------------------------------------------------------------------------------
+
+
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def _characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of every character and the end, its bytes as one number, first character of every text and the end)."""
+    begin = np.flatnonzero((raw & 0xC0) != 0x80)
+    size = np.diff(begin, append=len(raw))
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+    code = padded[begin].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(size > k)
+        code[more] |= padded[begin[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return np.append(begin, len(raw)), code, np.searchsorted(begin, off)
+
+
+def pair_weights(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """CRC-32 of every two neighbouring characters' bytes."""
+    first, size = begin[:-2], begin[2:] - begin[:-2]
+    crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+    for k in range(int(size.max()) if len(size) else 0):
+        on = slice(None) if k < 2 else np.flatnonzero(size > k)
+        crc[on] = _CRC[(crc[on] ^ raw[first[on] + k]) & 0xFF] ^ crc[on] >> np.uint32(8)
+    return crc ^ np.uint32(0xFFFFFFFF)
+
+
+def _spans(raw: np.ndarray, begin: np.ndarray, least: int, most: int, sparse: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, first characters) of the grams of each length, as if all texts were one."""
+    n = len(begin) - 1
+    if not sparse:
+        yield 3, np.arange(max(0, n - 2))
+        return
+    weight = pair_weights(raw, begin)
+    between = None  # the heaviest window strictly between the two ends
+    for length in range(3, most + 1):
+        if n < length:
+            return
+        left, right = weight[: n - length + 1], weight[length - 2 : n - 1]
+        if length > 3:
+            own = weight[1 : n - length + 2] if between is None else np.maximum(between[: n - length + 1], weight[length - 3 : n - 2])
+            between = own
+        if length >= least:
+            yield length, np.arange(len(left)) if between is None else np.flatnonzero(between < np.minimum(left, right))
+
+
+def _hashes(code: np.ndarray, start: np.ndarray, length: int, seed: int) -> np.ndarray:
+    out = np.full(len(start), length * seed & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(length):
+        out = (out ^ code[start + k]) * np.uint64(seed | 1)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def distinct_grams(texts: pa.Array, least: int = 3, most: int = 8, sparse: bool = False) -> pa.Array:
+    """The distinct grams of every text of a string column (null: none), in order of their hashes."""
+    raw, off = np.frombuffer(texts.buffers()[2] or b"", np.uint8), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw, off = raw[off[0] : off[-1]], off - off[0]
+    begin, code, at = _characters(raw, off)
+    code = code.astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    parts = []
+    for length, start in _spans(raw, begin, least, most, sparse):
+        start = start[start + length <= at[owner[start] + 1]]  # within its text
+        parts.append((start, np.full(len(start), length)))
+    start, length = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*parts) if parts else ([], [])))
+    one, two = (np.empty(len(start), np.uint64) for _ in range(2))
+    for size in np.unique(length):
+        own = np.flatnonzero(length == size)
+        one[own], two[own] = (_hashes(code, start[own], int(size), seed) for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+    # In order of text and first hash; a gram counts as known only if its second hash is that of the one before, too.
+    order = np.argsort(one, kind="stable")
+    order = order[np.argsort(owner[start[order]], kind="stable")]
+    text, one, two = owner[start[order]], one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (text[1:] != text[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    order, text = order[new], text[new]
+    first, end = begin[start[order]], begin[start[order] + length[order]]
+    ends = np.cumsum(end - first)
+    data = raw[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - (end - first)), end - first)]
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    values = pa.StringArray.from_buffers(len(order), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32()), values)
+
+
+def _pieces(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(off, int(off[start]) + most, "right")) - 1)
+        yield texts.slice(start, min(end, len(texts)) - start)
+        start = end
+
+
+def grams_udf(least: int = 3, most: int = 8, sparse: bool = False):
+    """A column function over Arrow batches: the distinct grams of each text."""
+
+    @F.arrow_udf("array<string>")
+    def grams(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.string())
+        done = [distinct_grams(piece, least, most, sparse) for piece in _pieces(texts, PIECE)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     return grams
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct trigrams of a text."""
+    return grams_udf()(text)
+
+
 class Extractor:
     """What cuts texts into grams, and which grams a literal demands: `trigram` or `sparse`."""
 
@@ -89,7 +203,7 @@ class Extractor:
         return self.kind if self.kind == "trigram" else f"sparse-{self.least}-{self.most}"
 
     def grams(self, text: Column) -> Column:
-        return trigrams(text) if self.kind == "trigram" else sparse_udf(self.least, self.most)(text)
+        return trigrams(text) if self.kind == "trigram" else grams_udf(self.least, self.most, True)(text)
 
     def cover(self, literal: str) -> list[str]:
         return cover_trigrams(literal) if self.kind == "trigram" else cover_sparse(literal, self.least, self.most)

@@ -41,7 +41,11 @@ REPORTS = """reports AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS ts, even
 SYMBOLS = """symbols AS (SELECT p_partkey AS id, p_name AS name, p_partkey % 100 AS file_id,
  CASE WHEN p_size % 4 = 0 THEN 'class' WHEN p_size % 4 = 1 THEN 'method' ELSE 'function' END AS kind, p_partkey * 7 % 500 AS "start", p_partkey * 7 % 500 + p_size AS "end" FROM part)"""
 EDGES = """edges AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, 'calls' AS kind, CASE WHEN a.l_returnflag = 'N' THEN 'exact' ELSE 'probable' END AS tier, a.l_linenumber AS site_line
- FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 10 = 0 AND a.l_partkey <> b.l_partkey)"""
+ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
+
+
+def _index(files):
+    return search.stored_index(files)
 
 
 def _word(w: str) -> str:
@@ -55,13 +59,13 @@ def _word(w: str) -> str:
 @query(f"WITH {LINES} SELECT path, line, text FROM lines WHERE contains(text, 'thation')")
 def search_literal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = adapters.files(spark, sf_dir)
-    return search.search(files, "thation", search.postings(files))
+    return search.search(files, "thation", _index(files))
 
 
 @query(f"WITH {LINES} SELECT path, line, text FROM lines WHERE regexp_matches(text, 'th[ae]n?ing [a-z]+\\.')")
 def search_regex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = adapters.files(spark, sf_dir)
-    return search.search(files, r"th[ae]n?ing [a-z]+\.", search.postings(files))
+    return search.search(files, r"th[ae]n?ing [a-z]+\.", _index(files))
 
 
 @query(f"WITH {LINES} SELECT path, line, text FROM lines WHERE contains(text, 'ement') AND (path LIKE 'src1/%' OR path LIKE 'src3/fr/%')")
@@ -78,14 +82,14 @@ def search_page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LINES} SELECT path, line, text FROM lines WHERE regexp_matches(text, '(?i)licen[sc]e(d)?')")
 def search_case_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = adapters.files(spark, sf_dir)
-    return search.search(files, "(?i)licen[sc]e(d)?", search.postings(files))
+    return search.search(files, "(?i)licen[sc]e(d)?", _index(files))
 
 
 @query(f"WITH {FILES} SELECT count(*) AS n_candidates, count(*) FILTER (contains(content, 'bleing')) AS n_matches, 0 AS n_missed FROM files WHERE contains(content, 'ble') AND contains(content, 'lei') AND contains(content, 'ein') AND contains(content, 'ing')")
 def index_equals_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the index, how many match, and how many matches it misses: none."""
     files = adapters.files(spark, sf_dir)
-    found = search.candidates(search.postings(files), rx.plan_literal("bleing"), files).withColumn("c", F.lit(1))
+    found = search.candidates(_index(files), rx.plan_literal("bleing"), files).withColumn("c", F.lit(1))
     rows = files.select("path", F.contains("content", F.lit("bleing")).alias("m")).join(found, "path", "left")
     return rows.agg(F.count("c").alias("n_candidates"), F.count_if("m").alias("n_matches"), F.count_if(F.col("m") & F.col("c").isNull()).alias("n_missed"))
 
@@ -95,12 +99,12 @@ _GRAMS = f"""WITH {FILES}, grams AS (SELECT path, unnest(list_distinct(list_tran
 
 @query(f"{_GRAMS} SELECT gram, count(*) AS df FROM grams GROUP BY gram")
 def gram_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_frequency(search.postings(adapters.files(spark, sf_dir)))
+    return search.document_frequency(_index(adapters.files(spark, sf_dir)))
 
 
 @query(f"{_GRAMS} SELECT gram, count(*) AS n, min(path) AS first_path FROM grams GROUP BY gram ORDER BY n DESC, gram LIMIT 20")
 def gram_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = search.postings(adapters.files(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    lists = _index(adapters.files(spark, sf_dir)).groupBy("gram").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
     return lists.orderBy(F.desc("n"), "gram").limit(20)
 
 
@@ -113,7 +117,7 @@ def sparse_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_plan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that match, by way of the plan's candidates."""
     files, pattern = adapters.files(spark, sf_dir), "(?:th|sh)e[ar]tion|queêt?re"
-    found = search.candidates(search.postings(files), rx.plan_pattern(pattern), files)
+    found = search.candidates(_index(files), rx.plan_pattern(pattern), files)
     return files.join(found, "path", "left_semi").filter(F.regexp_like("content", F.lit(pattern))).select("path")
 
 
@@ -186,7 +190,23 @@ def recall_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("turn_id", "session_id", "seq", "role").orderBy(F.desc("turn_id")).limit(50)
 
 
-@query(f"WITH {TURNS} SELECT turn_id FROM turns WHERE contains(text, 'tion') AND NOT (role = 'user' AND starts_with(ltrim(text), 'Caveat: The messages below'))")
+def _intent(text: str) -> str:
+    heads = " OR ".join(f"starts_with(regexp_replace({text}, '^\\s+', ''), '{p}')" for p in fn.ORCHESTRATOR_PREFIXES)
+    return f"CASE WHEN {heads} OR {' OR '.join(f'contains({text}, {chr(39)}{m}{chr(39)})' for m in fn.ORCHESTRATOR_MARKERS)} THEN 'orchestrator' ELSE 'human' END"
+
+
+_OPENINGS = [*fn.ORCHESTRATOR_PREFIXES, *(f"see {m} " for m in fn.ORCHESTRATOR_MARKERS), "<user-prompt-submit-hook>", "", "  <system-reminder>"]
+_OPENED = "replace(['" + "','".join(_OPENINGS) + f"'][1 + turn_id % {len(_OPENINGS)}] || text, chr(13), '')"
+
+
+@query(f"WITH {TURNS} SELECT turn_id, {_intent(_OPENED)} AS intent FROM turns")
+def intent_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with every prefix and marker, and some that are none, put before them."""
+    opening = F.element_at(F.array(*[F.lit(x) for x in _OPENINGS]), (F.col("turn_id") % len(_OPENINGS) + 1).cast("int"))
+    return adapters.turns(spark, sf_dir).select("turn_id", fn.intent(F.replace(F.concat(opening, "text"), F.lit("\r"), F.lit(""))).alias("intent"))
+
+
+@query(f"WITH {TURNS} SELECT turn_id FROM turns WHERE contains(text, 'tion') AND (role <> 'user' OR {_intent('text')} = 'human')")
 def recall_search_human_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.search(adapters.turns(spark, sf_dir), "tion", human=True).select("turn_id")
 
@@ -223,14 +243,19 @@ def recall_lexical_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir)
 
 
-_SEMANTIC = "sem AS (SELECT turn_id, row_number() OVER (ORDER BY length(text) DESC, turn_id) - 1 AS rank FROM turns ORDER BY rank LIMIT 200)"
+_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+_Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+_SEMANTIC = f"""near AS (SELECT vec_id, {_DOT} AS s FROM embeddings e, {_Q} ORDER BY s DESC, vec_id LIMIT 200),
+sem AS (SELECT turn_id, row_number() OVER (ORDER BY max(s) DESC, turn_id) - 1 AS rank FROM near JOIN turns ON turn_id = vec_id // 4 * 1000 + vec_id % 4 GROUP BY turn_id)"""
 _FUSED = f"{TURNS}, {_LEXICAL}, {_SEMANTIC}, fused AS (SELECT turn_id, sum(p) AS score FROM (SELECT turn_id, 2.0::DOUBLE / (61 + rank) AS p FROM lex UNION ALL SELECT turn_id, 1.0::DOUBLE / (61 + rank) FROM sem) GROUP BY turn_id)"
 
 
 def _fused(spark, sf_dir):
-    """The lexical channel, and turns by length in the place of a vector channel."""
-    turns = adapters.turns(spark, sf_dir)
-    sem = recall.ranked(turns.orderBy(F.desc(F.length("text")), "turn_id").limit(200).select("turn_id", F.length("text").alias("n")), [F.desc("n"), "turn_id"])
+    """The lexical channel and that of vectors, four of which stand for a conversation's first four turns."""
+    vectors_ = adapters.table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    chunks = vectors_.select("chunk_id", (F.floor(F.col("chunk_id") / 4) * 1000 + F.col("chunk_id") % 4).alias("turn_id"))
+    chunks = chunks.join(adapters.turns(spark, sf_dir).select("turn_id"), "turn_id", "left_semi")
+    sem = recall.nearest_turns(recall.knn(vectors_, _query_vector(spark, sf_dir), recall.LEXICAL_LIMIT), chunks)
     return recall.fuse([(_lexical(spark, sf_dir), recall.LEXICAL_WEIGHT), (sem, recall.SEMANTIC_WEIGHT)])
 
 
@@ -253,10 +278,6 @@ def _query_vector(spark, sf_dir) -> list[float]:
     return adapters.table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
 
 
-_DOT = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
-_Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-
-
 @query(f"SELECT vec_id, round({_DOT}, 6) AS score FROM embeddings e, {_Q} ORDER BY {_DOT} DESC, vec_id LIMIT 10")
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = recall.knn(adapters.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10, id_="vec_id")
@@ -403,43 +424,63 @@ def impact_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), r AS (SELECT 1::BIGINT AS id, 0 AS d UNION SELECT dst, d + 1 FROM r JOIN e ON src = id WHERE d < 6)
-SELECT min(d) IS NOT NULL AS found, min(d) AS depth FROM r WHERE id = 700""")
+SELECT min(d) FILTER (id = 700) IS NOT NULL AS found, min(d) FILTER (id = 700) AS depth, CASE WHEN min(d) FILTER (id = 700) IS NULL THEN arg_min(id, struct_pack(d := -d, i := id)) FILTER (d > 0 AND d = least_d) END AS furthest
+FROM (SELECT id, d, min(d) OVER (PARTITION BY id) AS least_d FROM r)""")
 def trace_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.trace(adapters.edges(spark, sf_dir), 1, 700, 6).select("found", "depth")
+    return graph.trace(adapters.edges(spark, sf_dir), 1, 700, 6).select("found", "depth", "furthest")
+
+
+_SYMBOL_FORMS = ["%s", "test_%s", "%s_test", "%s_tests", "Run%sTests", "it_%s", "spec_%s", "should_%s", "expect_%s", "mock_%s", "latest %s"]
+_PATH_FORMS = ["src/f%s.rs", "tests/f%s.rs", "a/tests/f%s.rs", "latest/f%s.rs", "a/test/f%s.rs", "a/__tests__/f%s.ts", "benches/f%s.rs", "a/f%s.test.tsx", "a/f%s.spec.ts", "f%s_test.go", "a/test_%s.py", "fixtures/f%s.rs", "a/f%s.test.js"]
+_NAMED = "SELECT id, " + ", ".join(
+    "CASE " + " ".join(f"WHEN id % {len(forms)} = {i} THEN replace('{f}', '%s', {value})" for i, f in enumerate(forms)) + f" END AS {name}"
+    for name, forms, value in (("name", _SYMBOL_FORMS, "name"), ("path", _PATH_FORMS, "file_id::VARCHAR"))
+) + " FROM symbols"
+
+
+def _form(forms: list[str], value):
+    """Each symbol in one of the forms, by its id."""
+    out = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        out = F.when(F.col("id") % len(forms) == i, F.replace(F.lit(f), F.lit("%s"), value)).otherwise(out)
+    return out
 
 
 @query(f"""WITH {SYMBOLS}, {EDGES}, o AS (SELECT src AS id, count(*) AS out_degree FROM edges GROUP BY src)
-SELECT id, out_degree FROM o WHERE id NOT IN (SELECT dst FROM edges) AND id IN (SELECT id FROM symbols WHERE NOT name ILIKE 'test%')""")
+SELECT id, out_degree FROM o WHERE id NOT IN (SELECT dst FROM edges WHERE dst % 3 > 0) AND id IN (SELECT id FROM ({_NAMED}) WHERE NOT ({" OR ".join(f"name ILIKE '{p}'" for p in graph.TEST_NAMES)}) AND NOT ({" OR ".join(f"path ILIKE '{p}'" for p in graph.TEST_PATHS)}))""")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = adapters.symbols(spark, sf_dir).select("id", "name", F.concat(F.lit("src/f"), F.col("file_id").cast("string")).alias("path"))
-    return graph.entry_points(adapters.edges(spark, sf_dir), nodes)
+    """Calls into every third part don't count, as in the whole graph everything is called."""
+    nodes = adapters.symbols(spark, sf_dir).select("id", _form(_SYMBOL_FORMS, F.col("name")).alias("name"), _form(_PATH_FORMS, F.col("file_id").cast("string")).alias("path"))
+    edges = adapters.edges(spark, sf_dir)
+    return graph.entry_points(edges.withColumn("dst", F.when(F.col("dst") % 3 > 0, F.col("dst"))), nodes)
 
 
-@query(f"""WITH {SYMBOLS}, {EDGES}, seeds AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM symbols WHERE id % 500 = 1),
+@query(f"""WITH {SYMBOLS}, {EDGES}, seeds AS (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM symbols WHERE id IN (1, 51, 101, 151)),
 m AS (SELECT pos, 0 AS way, src AS other, seeds.id FROM seeds JOIN edges ON dst = seeds.id UNION SELECT pos, 1, dst, seeds.id FROM seeds JOIN edges ON src = seeds.id)
 SELECT o.file_id, arg_min(CASE way WHEN 0 THEN 'calls ' ELSE 'called by ' END || s.name, struct_pack(pos := pos, way := way, other := other)) AS reason
 FROM m JOIN symbols o ON o.id = m.other JOIN symbols s ON s.id = m.id WHERE o.file_id NOT IN (SELECT file_id FROM symbols JOIN seeds USING (id)) GROUP BY o.file_id""")
 def neighbor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = adapters.symbols(spark, sf_dir)
-    seeds = nodes.filter("id % 500 = 1").select("id", F.row_number().over(Window.orderBy("id")).alias("pos"))
+    seeds = nodes.filter("id IN (1, 51, 101, 151)").select("id", F.row_number().over(Window.orderBy("id")).alias("pos"))
     return graph.neighbor_files(adapters.edges(spark, sf_dir), nodes, seeds)
 
 
 def _calls(spark, sf_dir):
     """Calls, symbols and imports out of line items: names are few, so that they clash within files and between them."""
     sym = adapters.symbols(spark, sf_dir).select(F.col("id").alias("uid"), F.col("file_id").alias("file"), F.concat(F.lit("n"), (F.col("id") % 137).cast("string")).alias("name"), "kind", F.col("start").alias("start_line"))
-    li = adapters.table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0")
+    li = adapters.table(spark, sf_dir, "lineitem")
+    file = F.col("l_suppkey") % 100
     calls = li.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("call_id"), (F.col("l_suppkey") % 100).alias("file"), F.concat(F.lit("n"), (F.col("l_partkey") % 300).cast("string")).alias("name"),
-        F.when(F.col("l_linenumber") == 1, "self").when(F.col("l_linenumber") == 2, "obj").alias("receiver"), F.when(F.col("l_linenumber") != 5, F.col("l_suppkey")).alias("caller"),
-    )
-    imports = adapters.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select((F.col("o_custkey") % 100).alias("file"), (F.col("o_orderkey") % 100).alias("target"), F.concat(F.lit("n"), (F.col("o_orderkey") % 137).cast("string")).alias("binding"))
+        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")) * 100 + file).alias("call_id"), file.alias("file"), F.concat(F.lit("n"), (F.col("l_partkey") % 300).cast("string")).alias("name"),
+        F.when(F.col("l_linenumber") == 1, "self").when(F.col("l_linenumber") == 2, "obj").alias("receiver"), F.when(F.col("l_linenumber") != 5, file).alias("caller"),
+    ).distinct()
+    imports = adapters.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("file"), (F.col("o_orderkey") % 100).alias("target"), F.concat(F.lit("n"), (F.col("o_orderkey") % 137).cast("string")).alias("binding"))
     return calls, sym, imports
 
 
 _CALLS = f"""{SYMBOLS}, sym AS (SELECT id AS uid, file_id AS file, 'n' || id % 137 AS name, kind, "start" AS start_line, CASE kind WHEN 'function' THEN 0 WHEN 'method' THEN 1 ELSE 2 END AS p FROM symbols),
-calls AS (SELECT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS call_id, l_suppkey % 100 AS file, 'n' || l_partkey % 300 AS name, CASE l_linenumber WHEN 1 THEN 'self' WHEN 2 THEN 'obj' END AS receiver, CASE WHEN l_linenumber <> 5 THEN l_suppkey END AS caller FROM lineitem WHERE l_orderkey % 7 = 0),
-imports AS (SELECT DISTINCT o_custkey % 100 AS file, o_orderkey % 100 AS target, 'n' || o_orderkey % 137 AS name FROM orders WHERE o_orderkey % 5 = 0),
+calls AS (SELECT DISTINCT ((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) * 100 + l_suppkey % 100 AS call_id, l_suppkey % 100 AS file, 'n' || l_partkey % 300 AS name, CASE l_linenumber WHEN 1 THEN 'self' WHEN 2 THEN 'obj' END AS receiver, CASE WHEN l_linenumber <> 5 THEN l_suppkey % 100 END AS caller FROM lineitem),
+imports AS (SELECT DISTINCT o_custkey % 100 AS file, o_orderkey % 100 AS target, 'n' || o_orderkey % 137 AS name FROM orders),
 cand AS (SELECT c.call_id, c.receiver, s.uid, s.file, s.file = c.file AS own, EXISTS (FROM imports i WHERE i.file = c.file AND i.target = s.file AND i.name = c.name) AS imp, struct_pack(p := s.p, l := s.start_line, u := s.uid) AS o
          FROM calls c JOIN sym s ON c.name = s.name WHERE c.caller IS NOT NULL),
 agg AS (SELECT call_id, receiver, arg_min(uid, o) FILTER (own) AS t0, count(DISTINCT file) FILTER (imp) AS n1, arg_min(uid, o) FILTER (imp) AS t1, count(DISTINCT file) AS n2, arg_min(uid, o) AS t2 FROM cand GROUP BY call_id, receiver),
@@ -466,12 +507,12 @@ def smallest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.smallest_enclosing(points, adapters.symbols(spark, sf_dir).select("file_id", "start", "end", "id"))
 
 
-_HUNKS = """hunks AS (SELECT o_orderkey AS hunk_id, o_custkey % 100 AS file_id, o_orderkey % 500 AS a, o_orderkey % 500 + o_custkey % 9 AS b FROM orders WHERE o_orderkey % 4 = 0)"""
+_HUNKS = """hunks AS (SELECT o_orderkey AS hunk_id, o_custkey % 100 AS file_id, o_orderkey % 500 AS a, o_orderkey % 500 + o_custkey % 9 AS b FROM orders)"""
 
 
 def _hunks(spark, sf_dir):
     a = F.col("o_orderkey") % 500
-    return adapters.table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("hunk_id"), (F.col("o_custkey") % 100).alias("file_id"), a.alias("a"), (a + F.col("o_custkey") % 9).alias("b"))
+    return adapters.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hunk_id"), (F.col("o_custkey") % 100).alias("file_id"), a.alias("a"), (a + F.col("o_custkey") % 9).alias("b"))
 
 
 @query(f'WITH {SYMBOLS}, {_HUNKS} SELECT DISTINCT hunk_id, id FROM hunks JOIN symbols USING (file_id) WHERE a <= "end" AND "start" <= b')
@@ -479,13 +520,13 @@ def hunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.overlapping(_hunks(spark, sf_dir), adapters.symbols(spark, sf_dir).select("file_id", "start", "end", "id"))
 
 
-@query(f"""WITH {SYMBOLS}, {EDGES}, {_HUNKS}, h AS (FROM hunks WHERE hunk_id % 400 = 0), c AS (SELECT DISTINCT id FROM h JOIN symbols USING (file_id) WHERE a <= "end" AND "start" <= b),
+@query(f"""WITH {SYMBOLS}, {EDGES}, {_HUNKS}, c AS (SELECT DISTINCT id FROM hunks JOIN symbols USING (file_id) WHERE a <= "end" AND "start" <= b),
 u AS (SELECT DISTINCT src FROM edges WHERE dst IN (FROM c) AND src NOT IN (FROM c)), n AS (SELECT (SELECT count(*) FROM c) AS n_symbols, (SELECT count(*) FROM u) AS n_callers, 0::BIGINT AS n_processes)
 SELECT *, CASE WHEN n_callers > 50 THEN 'CRITICAL' WHEN n_callers > 15 THEN 'HIGH' WHEN n_callers > 3 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM n""")
 def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The impact of one change set of many."""
+    """The impact of all hunks as one change."""
     spans = adapters.symbols(spark, sf_dir).select("file_id", "start", "end", "id")
-    return graph.change_impact(_hunks(spark, sf_dir).filter("hunk_id % 400 = 0"), spans, adapters.edges(spark, sf_dir))
+    return graph.change_impact(_hunks(spark, sf_dir), spans, adapters.edges(spark, sf_dir))
 
 
 @query()
@@ -564,14 +605,15 @@ def content_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.content_rank(_lines(spark, sf_dir), _KEYWORDS)
 
 
-_GRAPH = "s4 AS (SELECT path, row_number() OVER (ORDER BY doc_id) - 1 AS rank FROM files WHERE doc_id % 40 = 3)"
+_GRAPH = f"s4 AS (SELECT path, row_number() OVER (ORDER BY s DESC, vec_id) - 1 AS rank FROM (SELECT vec_id, {_DOT} AS s FROM embeddings e, {_Q} ORDER BY s DESC, vec_id LIMIT 40) JOIN files ON doc_id = vec_id)"
 _FUSE = f"""{_CONTENT}, {_FILENAME[len(FILES) + 2:]}, {_GRAPH}, parts AS (SELECT path, 3.0::DOUBLE / (61 + rank) AS p, 1 AS f FROM s1 UNION ALL SELECT path, 1.5::DOUBLE / (61 + rank), 4 FROM s3 UNION ALL SELECT path, 1.0::DOUBLE / (61 + rank), 8 FROM s4),
 fused AS (SELECT path, sum(p) AS score, bit_or(f) AS families FROM parts GROUP BY path)"""
 
 
 def _channels(spark, sf_dir):
     files = adapters.files(spark, sf_dir)
-    near = files.filter("doc_id % 40 = 3").select("path", (F.row_number().over(Window.orderBy("doc_id")) - 1).alias("rank"))
+    top = recall.knn(adapters.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 40, id_="vec_id")
+    near = recall.ranked(top.join(files.select("path", F.col("doc_id").alias("vec_id")), "vec_id"), [F.desc("score"), "vec_id"]).select("path", "rank")
     return {"filename": targets.filename_rank(files, _KEYWORDS), "content": targets.content_rank(_lines(spark, sf_dir), _KEYWORDS), "graph": near}
 
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -97,6 +98,28 @@ def test_written_index(spark, files, tmp_path):
         search.open_index(spark, path, grams.Extractor("sparse"))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab cdeéß漢😀", max_size=30)), max_size=6))
+def test_grams_of_columns_are_those_of_strings(texts):
+    col = pa.array(["skipped", *texts], pa.string()).slice(1)
+    sparse = grams.distinct_grams(col, 3, 8, True).to_pylist()
+    three = grams.distinct_grams(col).to_pylist()
+    for t, a, b in zip(texts, sparse, three, strict=True):
+        assert sorted(a) == sorted(set(grams.sparse_grams(t or ""))) and sorted(b) == sorted({t[i : i + 3] for i in range(len(t) - 2)} if t else [])
+
+
+def test_stored_index_is_written_once_and_pushes_the_filter(spark, files, tmp_path):
+    files.write.parquet(str(tmp_path / "files"))
+    stored = spark.read.parquet(str(tmp_path / "files"))
+    first = search.stored_index(stored)
+    assert first.inputFiles() == search.stored_index(stored).inputFiles()
+    assert search.search(stored, "openMenu", first).count() == search.search(files, "openMenu").count() > 0
+    plan = search.candidates(first, rx.plan_literal("openMenu"), stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan
+    spark.read.parquet(str(tmp_path / "files")).limit(3).write.parquet(str(tmp_path / "less"))
+    assert search.stored_index(spark.read.parquet(str(tmp_path / "less"))).inputFiles() != first.inputFiles()
+
+
 def test_signature(spark, files):
     a = search.signature(files).first()[0]
     assert a == search.signature(files.repartition(7)).first()[0] != search.signature(files.limit(5)).first()[0]
