@@ -14,7 +14,7 @@ from larkspur.operators.lineage import shared_dir
 from larkspur.plans import regex as rx
 from larkspur.plans.grams import Extractor
 
-SNIFF, MOST_BYTES, LIMIT, MOST_LIMIT = 8192, 4 << 20, 100, 10_000
+SNIFF, MOST_BYTES, LIMIT, MOST_LIMIT, SPREAD = 8192, 4 << 20, 100, 10_000, 64
 
 
 # Index --------------------------------------------------------------------------------------------------------------------
@@ -38,9 +38,10 @@ def posting_lists(files: DataFrame, extractor: Extractor | None = None) -> DataF
 
 
 def write_index(files: DataFrame, path: str, extractor: Extractor | None = None, partitions: int | None = None) -> None:
-    """An index as Parquet: rows range-partitioned and sorted by gram, so a lookup reads few row groups; and its metadata."""
-    rows = postings(files, extractor)
-    dealt = rows.repartitionByRange(partitions, "gram", "path") if partitions else rows.repartitionByRange("gram", "path")
+    """An index as Parquet: rows dealt by gram (a frequent one in SPREAD parts) and sorted by it, so a lookup reads few row
+    groups; and its metadata. Texts are cut once: dealing by ranges would cut them a second time to sample."""
+    rows, part = postings(files, extractor), F.pmod(F.xxhash64("path"), F.lit(SPREAD))
+    dealt = rows.repartition(partitions, "gram", part) if partitions else rows.repartition(F.col("gram"), part)
     dealt.sortWithinPartitions("gram", "path").write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/postings")
     meta = files.agg(F.count("*").alias("files")).select("files", F.lit((extractor or Extractor()).id).alias("extractor"), F.lit(1).alias("version"))
     meta.write.mode("overwrite").parquet(f"{path}/meta")

@@ -149,10 +149,15 @@ def distinct_grams(texts: pa.Array, least: int = 3, most: int = 8, sparse: bool
     for size in np.unique(length):
         own = np.flatnonzero(length == size)
         one[own], two[own] = (_hashes(code, start[own], int(size), seed) for seed in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-    # In order of text and first hash; a gram counts as known only if its second hash is that of the one before, too.
-    order = np.argsort(one, kind="stable")
-    order = order[np.argsort(owner[start[order]], kind="stable")]
-    text, one, two = owner[start[order]], one[order], two[order]
+    # In order of text and as much of the first hash as there is room for; equal neighbours are one gram only if both whole
+    # hashes are equal, too, and if any aren't, the order is made by all of them.
+    text, room = owner[start], np.uint64(len(texts).bit_length())
+    key = text.astype(np.uint64) << (np.uint64(64) - room) | one >> room
+    order = np.argsort(key)
+    apart = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    if (apart & (key[order][1:] == key[order][:-1])).any():
+        order = np.lexsort((two, one, text))
+    text, one, two = text[order], one[order], two[order]
     new = np.ones(len(order), bool)
     new[1:] = (text[1:] != text[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     order, text = order[new], text[new]
