@@ -1,168 +1,215 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Words are runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased. Only words of the benchmark can take part in
-a match, so a shard (some MB of documents) keeps their numbers and 0 for any other word, and one 0 after each document. Its
-suffix array holds the places from which at least the shortest window can run, ordered by their next `window` words. Every
-test suffix is searched in it: the places that share its first `window` words are a range, found by binary search.
-Neighbouring hits on one diagonal join into the longest verbatim matches.
+Words are runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased. The words of a shard (some MB of documents)
+are numbered, 0 standing after each document, and its suffix array has all its suffixes in order, each up to its document's
+end: places are sorted by their first words, then by prefix doubling until none tie but equal suffixes. The array knows
+nothing of the benchmark. Every test suffix is searched in it, all at once: a binary search for each further word narrows
+the range of places that share what has been read so far, down to a window's occurrences. From those whose words before
+differ, the longest verbatim matches are read off.
 
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-The benchmark is sent to the executors in blocks of rows of bounded size (`block_bytes` of text; a longer item stands
-alone); with more than one block, the matches of all blocks are joined per document before words are counted.
+Documents are read once. The benchmark is sent to the executors in blocks of rows of bounded size (`block_bytes` of text; a
+longer item stands alone); a shard's array is searched for one block after the other, and a worker holds one at a time.
 
 Defined cases: a null or empty text has no words and no hits; a null item or one without words matches nothing; rows that
 repeat are reported for each row; an empty benchmark leaves
-all documents clean; items that share an item_id count once; extra columns are ignored, and kept by `remove`.
+all documents clean; items that share an item_id count once; extra columns are ignored, and kept by `remove`; a document
+longer than a shard is a shard, with about 40 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FOLD_ALNUM, materialize, slices, table, utf8
+from .common import FOLD_ALNUM, slices, table, utf8
 
-WINDOW, BLOCK_BYTES, SHARD_BYTES = 10, 8 << 20, 4 << 20
+WINDOW, BLOCK_BYTES, SHARD_BYTES, PIECE_BYTES = 10, 8 << 20, 4 << 20, 1 << 20
+
+
+def words(raw: bytes) -> list[bytes]:
+    return raw.translate(FOLD_ALNUM).split()
+
+
+# Suffix arrays ------------------------------------------------------------------------------------------------------------
+
+
+class Shard:
+    """The words of some texts as numbers, and their suffix array."""
+
+    def __init__(self, raws: list[bytes]):
+        self.names: dict[bytes, int] = defaultdict(count(1).__next__)
+        number, parts, ends = self.names.__getitem__, [], []
+        for raw in raws:
+            folded, at, n = raw.translate(FOLD_ALNUM), 0, 0
+            while at < len(folded):  # a long text's words are never all held
+                end = folded.find(b" ", at + PIECE_BYTES)
+                own = folded[at : end if end >= 0 else len(folded)].split()
+                parts.append(np.fromiter(map(number, own), np.int32, len(own)))
+                at, n = (end if end >= 0 else len(folded)), n + len(own)
+            parts.append(np.zeros(1, np.int32))
+            ends.append(n + 1)
+        self.names.default_factory = None
+        self.numbers = np.concatenate([np.empty(0, np.int32), *parts])
+        size = np.array(ends, np.int64)
+        self.begin, self.counts = np.cumsum(size) - size, size - 1
+        self.array = suffix_array(self.numbers)
+        #: Where the suffixes that begin with each number lie in the array.
+        self.edge = np.concatenate([[0], np.cumsum(np.bincount(self.numbers[self.array], minlength=len(self.names) + 1))])
+
+
+def suffix_array(numbers: np.ndarray) -> np.ndarray:
+    """The places of all numbers but 0 in the order of what follows up to the next 0; equal suffixes by place.
+
+    A place's rank is where its group, of places with equal first `h` numbers, begins in the array. Groups that still tie
+    are sorted by the ranks of the places `h` further on, and `h` doubles."""
+    places = np.flatnonzero(numbers).astype(np.int32)
+    if not len(places):
+        return places
+    stops = np.flatnonzero(numbers == 0)
+    run = (stops[np.searchsorted(stops, np.arange(len(numbers)))] - np.arange(len(numbers))).astype(np.int32)
+    bits = int(numbers.max()).bit_length()
+    h = max(1, min(4, 63 // bits))
+    key = np.zeros(len(places), np.uint64)
+    for k in range(h):
+        key <<= np.uint64(bits)
+        some = np.flatnonzero(run[places] > k)
+        key[some] |= numbers[places[some] + k].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    array, key = places[order], key[order]
+    rank = np.zeros(len(numbers), np.int32)  # from 1; 0 is that of an end
+    new = np.append(True, key[1:] != key[:-1])
+    head = np.flatnonzero(new)
+    rank[array] = np.repeat(head, np.diff(head, append=len(array))) + 1
+    tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in the array
+    while True:
+        tied = tied[run[array[tied]] >= h]  # others are equal up to the end of their documents: equal suffixes, and settled
+        if not len(tied):
+            return array
+        own = array[tied]
+        key = rank[own].astype(np.uint64) << np.uint64(32) | rank[own + h].astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        array[tied] = own
+        group, new = key >> np.uint64(32), np.append(True, key[1:] != key[:-1])
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        within = np.arange(len(own)) - np.repeat(first, np.diff(first, append=len(own)))
+        head = np.flatnonzero(new)
+        rank[own] = np.repeat(group[head].astype(np.int32) + within[head].astype(np.int32), np.diff(head, append=len(own)))
+        tied, h = tied[~(new & np.append(new[1:], True))], 2 * h
+
+
+# Test suffixes ------------------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Suffixes:
     """Test suffixes of a block of the benchmark."""
 
-    window: int
-    vocabulary: dict[bytes, int]
-    keys: np.ndarray  # the next `window` words of each suffix that starts a window, as fixed-length bytes
+    vocabulary: list[bytes]
+    words: np.ndarray  # places in the vocabulary, all items one after the other
+    start: np.ndarray  # where each suffix that starts a window begins among them
     length: np.ndarray  # words of its window
     item: np.ndarray  # place of its item in ids
-    at: np.ndarray  # the suffix's first word in the item
+    begin: np.ndarray  # where each item begins, and the last one ends
     ids: list  # item_id
-    least: int  # words of the shortest window
-
-
-def words(raw: bytes) -> list[bytes]:
-    return raw.translate(FOLD_ALNUM).split()
-
-
-def _keys(numbers: np.ndarray, at: np.ndarray, run: np.ndarray, window: int) -> np.ndarray:
-    """The next `window` numbers from each place as big-endian bytes, 0 from the end of its run on."""
-    step = np.arange(window)
-    padded = np.concatenate([numbers, np.zeros(window, numbers.dtype)])
-    out = padded[at[:, None] + step]
-    out[step >= run[:, None]] = 0
-    return np.ascontiguousarray(out.astype(">u4")).view(f"S{4 * window}").ravel()
 
 
 def test_suffixes(items: list[tuple], window: int) -> Suffixes:
-    vocabulary: dict[bytes, int] = {}
-    keys, length, item, at, ids = [], [], [], [], []
+    names: dict[bytes, int] = defaultdict(count().__next__)
+    parts, ids = [], []
     for item_id, text in items:
-        found = words((text or "").encode())
-        if not found:
-            continue
-        numbers = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64)
-        size = min(window, len(found))
-        starts = np.arange(len(found) - size + 1)
-        keys.append(_keys(numbers, starts, np.full(len(starts), size), window))
-        length.append(np.full(len(starts), size))
-        item.append(np.full(len(starts), len(ids)))
-        at.append(starts)
-        ids.append(item_id)
-    if not ids:
-        return Suffixes(window, {}, np.empty(0, f"S{4 * window}"), *(np.empty(0, np.int64) for _ in range(3)), [], window)
-    length = np.concatenate(length)
-    return Suffixes(window, vocabulary, np.concatenate(keys), length, np.concatenate(item), np.concatenate(at), ids, int(length.min()))
-
-
-def search(numbers: np.ndarray, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(place in numbers, index of the test suffix) of every occurrence of a window."""
-    none = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(suffixes.keys) or not len(numbers):
-        return none
-    stops = np.flatnonzero(numbers == 0)
-    run = stops[np.searchsorted(stops, np.arange(len(numbers)))] - np.arange(len(numbers))
-    at = np.flatnonzero(run >= suffixes.least)
-    if not len(at):
-        return none
-    keys = _keys(numbers, at, run[at], suffixes.window)
-    order = np.argsort(keys, kind="stable")
-    array, keys = at[order], keys[order]
-    first = np.searchsorted(keys, suffixes.keys, "left")
-    full = suffixes.length == suffixes.window
-    end = np.empty_like(first)
-    end[full] = np.searchsorted(keys, suffixes.keys[full], "right")
-    for k in np.flatnonzero(~full):  # a short window's range ends where its words are followed by the largest number
-        n = 4 * int(suffixes.length[k])
-        head = suffixes.keys[k : k + 1].view(np.uint8)[:n].tobytes()
-        end[k] = np.searchsorted(keys, np.array([head + b"\xff" * (4 * suffixes.window - n)], keys.dtype), "right")[0]
-    count = end - first
-    which = np.repeat(np.arange(len(count)), count)
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return array[np.repeat(first, count) + within], which
-
-
-def shard_matches(raws: list[bytes], suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, first place of each, places of hits, their test suffixes); places run over the whole shard."""
-    get, found, counts = suffixes.vocabulary.get, [], []
-    for raw in raws:
-        own = words(raw)
-        found.extend(map(get, own, repeat(0)))
-        found.append(0)
-        counts.append(len(own))
-    counts = np.array(counts, np.int64)
-    places, which = search(np.array(found, np.int64), suffixes)
-    return counts, np.cumsum(counts + 1) - counts - 1, places, which
-
-
-def longest(doc: np.ndarray, at: np.ndarray, which: np.ndarray, suffixes: Suffixes) -> np.ndarray:
-    """Rows (doc, start, words, item, start in the item): hits that follow each other on a diagonal make one match."""
-    if not len(doc):
-        return np.empty((0, 5), np.int64)
-    item, start, size = suffixes.item[which], suffixes.at[which], suffixes.length[which]
-    order = np.lexsort((at, at - start, item, doc))
-    doc, at, item, start, size = (x[order] for x in (doc, at, item, start, size))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] != start[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(doc)) - 1
-    return np.stack([doc[head], at[head], at[tail] - at[head] + size[tail], item[head], start[head]], 1)
+        if found := words((text or "").encode()):
+            parts.append(np.fromiter(map(names.__getitem__, found), np.int32, len(found)))
+            ids.append(item_id)
+    size = np.array([len(p) for p in parts], np.int64)
+    begin, length = np.concatenate([[0], np.cumsum(size)]), np.minimum(size, window)
+    windows = size - length + 1
+    item = np.repeat(np.arange(len(ids)), windows)
+    start = begin[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    return Suffixes(list(names), np.concatenate([np.empty(0, np.int32), *parts]), start, length[item], item, begin, ids)
+
+
+def _bound(shard: Shard, low: np.ndarray, high: np.ndarray, depth: int, word: np.ndarray) -> np.ndarray:
+    """The first place of each range low..high of the array whose suffix has at least `word` at `depth`; high if none."""
+    low, high = low.copy(), high.copy()
+    while len(on := np.flatnonzero(low < high)):
+        middle = (low[on] + high[on]) >> 1
+        less = shard.numbers[shard.array[middle] + depth] < word[on]
+        low[on[less]] = middle[less] + 1
+        high[on[~less]] = middle[~less]
+    return low
+
+
+def search(shard: Shard, suffixes: Suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(test words by the shard's numbers or -1, first and end of the range of each test suffix's window in the array)."""
+    get = shard.names.get
+    known = np.fromiter((get(w, -1) for w in suffixes.vocabulary), np.int32, len(suffixes.vocabulary))
+    test = known[suffixes.words]
+    word = test[suffixes.start]
+    low, high = np.where(word > 0, shard.edge[word], 0), np.where(word > 0, shard.edge[word + 1], 0)
+    for depth in range(1, int(suffixes.length.max()) if len(suffixes.length) else 0):
+        on = np.flatnonzero((low < high) & (suffixes.length > depth))
+        word = test[suffixes.start[on] + depth]
+        low[on] = _bound(shard, low[on], high[on], depth, word)
+        high[on] = np.where(word > 0, _bound(shard, low[on], high[on], depth, word + 1), low[on])
+    return test, low, high
+
+
+def longest(shard: Shard, suffixes: Suffixes) -> np.ndarray:
+    """Rows (doc, start, words, item, start in the item): the longest matches with a window of a test suffix or more."""
+    test, low, high = search(shard, suffixes)
+    number = high - low
+    which = np.repeat(np.arange(len(number)), number)
+    place = shard.array[np.repeat(low, number) + np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)].astype(np.int64)
+    at, item = suffixes.start[which], suffixes.item[which]
+    # With equal words before, the match is part of a longer one; before a document stands a 0, of another or the last one.
+    new = (at == suffixes.begin[item]) | (shard.numbers[place - 1] != test[at - 1])
+    which, place, at, item = which[new], place[new], at[new], item[new]
+    size, width, on = suffixes.length[which], 8, np.arange(len(which))
+    stop = suffixes.begin[item + 1]
+    while len(on):  # read on, more words at a time the longer the matches
+        room, further = max(1, (1 << 20) // width), []
+        for some in (on[i : i + room] for i in range(0, len(on), room)):
+            step = size[some][:, None] + np.arange(width)
+            there, here = at[some][:, None] + step, place[some][:, None] + step
+            same = there < stop[some][:, None]
+            same &= shard.numbers[np.minimum(here, len(shard.numbers) - 1)] == test[np.minimum(there, len(test) - 1)]
+            more = np.logical_and.accumulate(same, axis=1).sum(1)
+            size[some] += more
+            further.append(some[more == width])
+        on, width = np.concatenate(further), min(2 * width, 1 << 16)
+    doc = np.searchsorted(shard.begin, place, "right") - 1
+    found = np.stack([doc, place - shard.begin[doc], size, item, at - suffixes.begin[item]], 1) if len(which) else np.empty((0, 5), np.int64)
+    return found[np.lexsort(found.T[::-1])]
 
 
 _MATCH = pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
-def _shard(batch: pa.RecordBatch, suffixes: Suffixes) -> tuple[np.ndarray, list[list[dict]]]:
-    """(words, matches) of each row of a batch, which makes up one shard."""
-    raw, off, valid = utf8(batch.column("text"))
-    whole = raw[off[0] : off[-1]].tobytes()
-    texts = [whole[a:b] if v else b"" for a, b, v in zip(off[:-1] - off[0], off[1:] - off[0], valid, strict=True)]
-    counts, begin, places, which = shard_matches(texts, suffixes)
-    doc = np.searchsorted(begin, places, "right") - 1
-    rows: list[list] = [[] for _ in texts]
-    for d, start, n, item, item_start in longest(doc, places - begin[doc], which, suffixes).tolist():
-        rows[d].append({"start": start, "n_words": n, "item_id": str(suffixes.ids[item]), "item_start": item_start})
-    return counts, rows
-
-
-def _scan(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        suffixes = shared.value
-        for batch in slices(batches, "text", SHARD_BYTES):
-            counts, rows = _shard(batch, suffixes)
-            kept = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(counts), pa.array(rows, _MATCH)], [*kept, "n_words", "matches"])
-
-    return run
-
-
-_SCHEMA = "doc_id {kind}, n_words long, matches array<struct<start: long, n_words: long, item_id: string, item_start: long>>"
+def _shards(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[dict]]]]:
+    """(batch that makes up a shard, words and matches of each of its rows)."""
+    for batch in slices(batches, "text", SHARD_BYTES):
+        raw, off, valid = utf8(batch.column("text"))
+        whole = raw[off[0] : off[-1]].tobytes()
+        shard = Shard([whole[a:b] if v else b"" for a, b, v in zip(off[:-1] - off[0], off[1:] - off[0], valid, strict=True)])
+        rows: list[list] = [[] for _ in range(batch.num_rows)]
+        for block in blocks:
+            suffixes = block.value
+            for d, start, n, item, item_start in longest(shard, suffixes).tolist():
+                rows[d].append({"start": start, "n_words": n, "item_id": str(suffixes.ids[item]), "item_start": item_start})
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again from the executor's file: one block is held at a time
+        yield batch, shard.counts, rows
 
 
 def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
@@ -178,28 +225,26 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def _shared(docs: DataFrame, items: list[tuple], window: int):
-    """A block's suffixes, sorted out once and broadcast; bounded by the block's size."""
-    return docs.sparkSession.sparkContext.broadcast(test_suffixes(items, window))
+def _shared(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """The blocks' suffixes, sorted out once and broadcast, each of a bounded size; the driver keeps none."""
+    out = []
+    for items in blocks(benchmark, block_bytes):
+        out.append(benchmark.sparkSession.sparkContext.broadcast(test_suffixes(items, window)))
+        out[-1].__dict__.pop("_value", None)
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, matches: longest verbatim matches (start, n_words, item_id, item_start), for each row of docs."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = _SCHEMA.format(kind=dict(texts.dtypes)["doc_id"])
-    others = blocks(benchmark, block_bytes)
-    first, second = next(others, []), next(others, None)
-    if second is None:
-        return texts.mapInArrow(_scan(_shared(docs, first, window)), schema)
-    # Rows of equal doc_id and text have equal matches: they go as one with their number and come back as many.
-    keyed, schema = texts.withColumn("h", F.xxhash64("text")), schema.replace(", n_words", ", h long, n_words", 1)
-    alike = [F.first("n_words").alias("n_words"), F.first("matches").alias("matches"), F.count("*").cast("int").alias("rows")]
-    parts = [materialize(keyed.mapInArrow(_scan(_shared(docs, items, window)), schema).groupBy("doc_id", "h").agg(*alike), "benchmark-block") for items in chain([first, second], others)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    out = out.groupBy("doc_id", "h").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"), F.max("rows").alias("rows"))
-    return out.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("doc_id", "n_words", "matches")
+    shared = _shared(benchmark, window, block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, counts, rows in _shards(batches, shared):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(rows, _MATCH)], ["doc_id", "n_words", "matches"])
+
+    kind = dict(texts.dtypes)["doc_id"]
+    return texts.mapInArrow(run, f"doc_id {kind}, n_words long, matches array<struct<start: long, n_words: long, item_id: string, item_start: long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -226,18 +271,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs: a filter for each block of the benchmark."""
+    """The rows of docs in which no window of the benchmark occurs."""
+    shared = _shared(benchmark, window, block_bytes)
 
-    def clean(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", SHARD_BYTES):
-                yield batch.filter(pa.array([not m for m in _shard(batch, shared.value)[1]], pa.bool_()))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, rows in _shards(batches, shared):
+            yield batch.filter(pa.array([not m for m in rows], pa.bool_()))
 
-    for items in blocks(benchmark, block_bytes):
-        docs = docs.mapInArrow(clean(_shared(docs, items, window)), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

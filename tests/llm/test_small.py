@@ -1,5 +1,6 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import itertools
 import random
 
 import brute
@@ -343,6 +344,39 @@ def test_decontamination_longest_match(spark):
     assert [(x.start, x.n_words, x.item_id, x.item_start) for x in m] == [(1, 25, "9", 5)]
 
 
+def test_decontamination_suffix_array_and_longest_matches():
+    for _ in range(60):
+        docs = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 6))]
+        docs += docs[:2]  # equal suffixes
+        shard = op4_decontamination.Shard([d.encode() for d in docs])
+        numbers = shard.numbers.tolist()
+        assert shard.array.tolist() == sorted((p for p, n in enumerate(numbers) if n), key=lambda p: (numbers[p : numbers.index(0, p)], p))
+        items = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))) for i in range(4)]
+        want = set()
+        for i, item in items:
+            t = item.split()
+            for d, x in enumerate(map(str.split, docs)):
+                for p, q in itertools.product(range(len(x)), range(len(t))):
+                    n = 0
+                    while p + n < len(x) and q + n < len(t) and x[p + n] == t[q + n]:
+                        n += 1
+                    if n >= min(3, len(t)) and not (p and q and x[p - 1] == t[q - 1]):
+                        want.add((d, p, n, i, q))
+        assert set(map(tuple, op4_decontamination.longest(shard, op4_decontamination.test_suffixes(items, 3)).tolist())) == want
+
+
+def test_decontamination_long_texts_and_matches():
+    text = " ".join(f"w{i % 700}" for i in range(5000)).encode()
+    piece, op4_decontamination.PIECE_BYTES = op4_decontamination.PIECE_BYTES, 64
+    try:
+        shard = op4_decontamination.Shard([b"", text, b"w1"])
+    finally:
+        op4_decontamination.PIECE_BYTES = piece
+    assert shard.counts.tolist() == [0, 5000, 1]
+    suffixes = op4_decontamination.test_suffixes([("x", text.decode())], 10)
+    assert [1, 0, 5000, 0, 0] in op4_decontamination.longest(shard, suffixes).tolist()
+
+
 def test_decontamination_repeated_rows_in_any_number_of_blocks(spark):
     a, b = prose(30), prose(30)
     rows = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, b), (2, None), (3, prose(5))]
