@@ -268,8 +268,8 @@ def test_chat_round_trip(spark):
         want.setdefault(c, []).append((t, r or "", x or ""))
     import hashlib
 
-    for settings in ({}, {"pack_chars": 50, "pack_convs": 3}, {"long_chars": 20, "long_turns": 4}):
-        got = {r.conv_id: r for r in op3_chat.read_all(*op3_chat.format_all(df, **settings)).collect()}
+    for settings in ({}, {"pack_chars": 50, "pack_convs": 3}, {"piece_chars": 20, "piece_turns": 4}, {"piece_turns": 1, "pack_convs": 2}):
+        got = {r.conv_id: r for r in op3_chat.read_all(op3_chat.format_all(df, **settings)).collect()}
         assert set(got) == set(want)
         for c, turns in want.items():
             turns = sorted(turns)
@@ -292,6 +292,18 @@ def test_chat_pack_shares_turns():
     assert [c["last"] for c in pack["convs"]] == [1, 3, 1]
 
 
+def test_chat_long_conversations_share_pieces(spark):
+    same = [("user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(20)]
+    rows = [(c, t, r, x) for c in range(3) for t, (r, x) in enumerate(same + [("user", f"own {c}")] * (c + 1))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    packs = op3_chat.format_all(df.coalesce(1), piece_turns=8)
+    text = "".join(p.text for p in packs.collect())
+    assert all(text.count(x + "</s>") == 1 for _, x in same) and all(p.chained for p in packs.collect())
+    assert sorted(c.piece for p in packs.collect() for c in p.convs) == sorted([0, 1, 2] * 3)
+    got = {r.conv_id: r for r in op3_chat.read_all(packs).collect()}
+    assert {c: r.n_turns for c, r in got.items()} == {0: 21, 1: 22, 2: 23}
+
+
 def test_chat_broken_output_is_noticed():
     with pytest.raises(ValueError):
         list(op3_chat.parse("[INST] user [/INST]text"))
@@ -301,7 +313,7 @@ def test_chat_broken_output_is_noticed():
 
 def test_chat_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert op3_chat.read_all(*op3_chat.format_all(df)).collect() == []
+    assert op3_chat.read_all(op3_chat.format_all(df)).collect() == []
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------------
