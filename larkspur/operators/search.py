@@ -27,9 +27,11 @@ def indexable(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def postings(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
-    """gram, path: one row for each distinct gram of each file."""
+    """gram, path: one row for each distinct gram of each file.
+
+    Files are dealt out first: cutting takes far longer than moving the texts, of which a scan may have many in one task."""
     extractor = extractor or Extractor()
-    return indexable(files).select("path", F.explode(extractor.grams(F.col("content"))).alias("gram"))
+    return indexable(files).select("path", "content").repartition("path").select("path", F.explode(extractor.grams(F.col("content"))).alias("gram"))
 
 
 def posting_lists(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
