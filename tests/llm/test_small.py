@@ -224,6 +224,49 @@ def test_lm_state_goes_on_in_long_texts(monkeypatch):
     assert seen == [False] + [True] * (len(lanes) - 1) and one < whole * 1.05
 
 
+def test_lm_goes_through_a_text_in_order(monkeypatch):
+    """Contexts reach over the whole of a text, and each decision is coded with the changes of all before it."""
+    code, predictors = lm_model()
+    for n, hopes in ((300, 1), (1500, 0)):
+        text = prose(n).encode()
+        raw = np.frombuffer(text, np.uint8)
+        hoped = np.full(len(raw) + 1, -1, np.int16), np.zeros(len(raw) + 1, np.int16)
+        hoped[0][: len(raw) : 1 + 2 * hopes] = raw[:: 1 + 2 * hopes] if hopes else -1
+        got = op2_mixing_lm.text_bits(raw, np.array([0, len(raw)]), code, predictors, hoped)[0]
+        with monkeypatch.context() as one_lane:
+            one_lane.setattr(op2_mixing_lm, "LANE", 1 << 40)
+            want = slow_bits(text, code, predictors, list(zip(*map(np.ndarray.tolist, hoped))))
+        assert abs(got - want) < 1e-4 * want, n
+
+
+def test_lm_pieces_of_a_text_are_the_text(monkeypatch):
+    """However a text is cut in memory, its contexts and its code length are those of the whole."""
+    m, (code, predictors) = op2_mixing_lm, lm_model()
+    texts = ["ab cd", "", prose(400) + "x" * 700 + " \t" + prose(100), "a", "y" * 300, prose(150)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    hoped = np.append(np.where(np.arange(len(raw)) % 4 == 1, raw, -1), -1).astype(np.int16), np.arange(len(raw) + 1).astype(np.int16) % 9
+
+    def seen():
+        parts = [(s, *m.contexts(s, b, tail)) for s, b, tail in m.tailed(raw, off, 1000)]
+        return [np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), *(np.concatenate([x[2][k] for x in parts]) for k in range(3))]
+
+    whole, bits = seen(), m.text_bits(raw, off, code, predictors, hoped)
+    monkeypatch.setattr(m, "WINDOW", 64)
+    monkeypatch.setattr(m, "LEAST_STEPS", 50)
+    monkeypatch.setattr(m, "TRAIN_BATCH", 37)
+    assert np.allclose(m.text_bits(raw, off, code, predictors, hoped), bits, rtol=1e-5)
+    for lane in (1, 3, 64, 1000):
+        monkeypatch.setattr(m, "LANE", lane)
+        assert all((a == b).all() for a, b in zip(seen(), whole, strict=True)), lane
+        assert np.allclose(m.text_bits(raw, off, code, predictors, hoped), bits, rtol=1e-5), lane
+
+
+def test_lm_chunks_have_texts_of_like_length():
+    base, chunks = op2_mixing_lm._dealing([(0, 5, 0), (10, 50, 1600), (11, 250_000, 300), (24, 3, 9000), (26, 1, 9000)], 3000)
+    assert [(base[x], chunks[x]) for x in (26, 24, 11, 10, 0)] == [(0, 3), (3, 3), (6, 3), (6, 3), (6, 3)]
+
+
 def test_lm_partitions_add_up(spark):
     """Tables and trees are the same however many partitions have counted, added in one step or in two."""
     texts = spark.createDataFrame([(prose(50),) for _ in range(60)], "text string")
