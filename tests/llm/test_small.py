@@ -274,6 +274,33 @@ def test_lm_partitions_add_up(spark):
     assert dict(one[1]) == dict(many[1]) and (one[0].length == many[0].length).all() and (one[0].bit == many[0].bit).all()
 
 
+def test_lm_tables_count_every_decision(monkeypatch):
+    """Symbols that are alike are put together before they are counted; the tables are those of one decision after the other."""
+    from types import SimpleNamespace
+
+    m, texts = op2_mixing_lm, [prose(300), "", "Ab ab\tab", prose(40), "é" * 30]
+    raw, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    keys = np.concatenate([pair.astype(np.int64) * 257 + s for s, b, tail in m.tailed(raw, off, 500) for pair in [m.contexts(s, b, tail)[0]]])
+    keys, n = np.unique(keys, return_counts=True)
+    code = m.Code(keys, n)
+    want = [np.zeros(2 << b, np.int64) for b in m.BITS]
+    for t in texts:
+        symbols = np.array([*t.encode().translate(m.FOLD), 256], np.uint16)
+        pair, kept = m.contexts(symbols, np.array([0]))
+        for i, path in enumerate(code.tree[pair] + symbols):
+            for d in range(code.start[path], code.start[path] + code.length[path]):
+                for table, context in zip(want, kept, strict=True):
+                    table[int(context[i] ^ code.node[d] % m.LINE) * 2 + int(code.bit[d])] += 1
+    monkeypatch.setattr(m, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    for most in (1, 600, 1 << 21):
+        monkeypatch.setattr(m, "COUNT_BATCH", max(4, most))
+        monkeypatch.setattr(m, "TRAIN_BATCH", min(most + 100, 1 << 18))
+        counted = [pa.Table.from_batches([x]) for x in m._count(SimpleNamespace(value=code), 1)(iter([pa.record_batch({"text": texts})]))]
+        blocks = [(x["block"][0].as_py(), m._finish(x)["data"][0].as_py()) for x in counted]
+        got = m.tables([*m._pair_blocks(code, keys, n), *blocks])
+        assert all((a == m._stretched(b)).all() for a, b in zip(got, want, strict=True)), most
+
+
 def test_lm_matches_grow_with_the_corpus(spark):
     """A held-out copy of a training text costs far less than a text of its kind; a training text doesn't match itself."""
     texts = [prose(200) for _ in range(30)]
