@@ -262,6 +262,17 @@ def test_lm_pieces_of_a_text_are_the_text(monkeypatch):
         assert np.allclose(m.text_bits(raw, off, code, predictors, hoped), bits, rtol=1e-5), lane
 
 
+def test_lm_very_many_short_texts_go_in_batches():
+    """Each lane has its weights and map, so that only so many go at a time."""
+    code, predictors = lm_model()
+    texts = ["", "a", "b c"] * 12000
+    raw, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    parts = list(op2_mixing_lm.lanes(raw, off))
+    assert sum(len(x[1]) for x in parts) == len(texts) and max(len(x[1]) for x in parts) <= 1 << 14
+    bits = op2_mixing_lm.text_bits(raw, off, code, predictors).reshape(-1, 3)
+    assert np.allclose(bits, bits[0], rtol=1e-5)
+
+
 def test_lm_chunks_have_texts_of_like_length():
     base, chunks = op2_mixing_lm._dealing([(0, 5, 0), (10, 50, 1600), (11, 250_000, 300), (24, 3, 9000), (26, 1, 9000)], 3000)
     assert [(base[x], chunks[x]) for x in (26, 24, 11, 10, 0)] == [(0, 3), (3, 3), (6, 3), (6, 3), (6, 3)]
