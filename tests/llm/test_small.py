@@ -273,6 +273,29 @@ def test_lm_very_many_short_texts_go_in_batches():
     assert np.allclose(bits, bits[0], rtol=1e-5)
 
 
+def test_lm_windows_stay_small(monkeypatch):
+    """However many texts go side by side, what is laid out for the coder at a time fits a cache, and is all there is."""
+    m, (code, predictors) = op2_mixing_lm, lm_model()
+    texts = [prose(20 + i % 30) for i in range(5000)]
+    raw, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    seen, real = [], m.decisions
+    monkeypatch.setattr(m, "decisions", lambda code, path: seen.append(code.length[path].sum()) or real(code, path))
+    m.text_bits(raw, off, code, predictors)
+    symbols = np.concatenate([code.tree[m.contexts(s, b, t)[0]] + s for s, b, t in m.tailed(raw, off, 1 << 16)])
+    assert max(seen) <= 1 << 17 and sum(seen) == code.length[symbols].sum()
+
+
+def test_lm_next_symbols_of_lanes():
+    """A lane's next symbols have `most` decisions at most, but one symbol always goes, and none behind its end."""
+    size = np.random.RandomState(3).randint(1, 14, 3000)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    place = np.unique(np.random.RandomState(4).randint(0, 2990, 200))
+    stop = np.append(place[1:], 3000)
+    for most in (1, 2, 7, 64, 1000, 1 << 17):
+        want = [max([p + 1, *(u for u in range(p + 1, s + 1) if ends[u] - ends[p] <= most)]) for p, s in zip(place, stop)]
+        assert op2_mixing_lm._upto(ends, place, stop, most).tolist() == want, most
+
+
 def test_lm_chunks_have_texts_of_like_length():
     base, chunks = op2_mixing_lm._dealing([(0, 5, 0), (10, 50, 1600), (11, 250_000, 300), (24, 3, 9000), (26, 1, 9000)], 3000)
     assert [(base[x], chunks[x]) for x in (26, 24, 11, 10, 0)] == [(0, 3), (3, 3), (6, 3), (6, 3), (6, 3)]
