@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import FOLD, slices, table, utf8
 
 PER_LANGUAGE, TRAIN_CHARS, GROUP_LANGUAGES, FOLDS, CHUNK = 1500, 20_000, 64, 5, 2 << 20
+#: Bytes of text whose costs in every language are held at once.
+PIECE = 1 << 18
 UND = "und"
 MOST_BITS, LEAST_BYTES = 7.0, 200
 _LETTER = re.compile(r"[^\W\d_]")
@@ -222,7 +224,7 @@ def _merge(held: dict[str, list]) -> None:
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, "text", CHUNK):
+        for batch in slices(batches, "text", PIECE):
             col = batch.column("text")
             raw, off, valid = utf8(col)
             n = batch.num_rows
@@ -233,7 +235,7 @@ def _predict(shared):
                 size = np.diff(off)
                 total = np.zeros((n, len(model.languages)))
                 # Pieces keep the table of costs small even where one text is very long.
-                piece = max(1, CHUNK * GROUP_LANGUAGES // max(GROUP_LANGUAGES, len(model.languages)))
+                piece = max(1, PIECE * GROUP_LANGUAGES // max(GROUP_LANGUAGES, len(model.languages)))
                 for a in range(0, len(codes), piece):
                     bits = model.lengths(codes[a : a + piece])
                     first = int(np.searchsorted(begin, a, "right")) - 1
@@ -264,7 +266,7 @@ def keep_language(docs: DataFrame, model: Model | Models | None, most_bits: floa
     predict = _predict(docs.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", CHUNK):
+        for batch in slices(batches, "text", PIECE):
             found = next(predict(iter([batch.select(["text"])])))
             bits = found.column("bits_per_byte").to_numpy(zero_copy_only=False)
             size = np.diff(utf8(batch.column("text"))[1])

@@ -2,13 +2,14 @@
 
 import itertools
 import random
+import tracemalloc
 
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from larkspur.llm import graph, op1_topk, op2_mixing_lm, op3_chat, op4_decontamination, op5_surrogates, op6_jaccard, op7_warc, op8_licences, op9_mixing, op10_language, sigtree
+from larkspur.llm import common, graph, op1_topk, op2_mixing_lm, op3_chat, op4_decontamination, op5_surrogates, op6_jaccard, op7_warc, op8_licences, op9_mixing, op10_language, sigtree
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -912,6 +913,51 @@ def test_language_costs_follow_the_definition():
             assert abs(slow_cost(text, grams) - got[j]) < 1e-2, (text, lang)
 
 
+def _peak_mb(run) -> tuple[float, object]:
+    """The most that Python and numpy held during run(), and what it returned."""
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_holds_the_costs_of_a_piece():
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij klmno", k=n)) for n in (40_000, 1_500_000, 7, *[30_000] * 20)]
+    seen = {x: np.unique(op10_language.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, 5000]))[0], return_counts=True) for x, t in (("l1", texts[0]), ("l2", texts[1]), ("l3", texts[3]), ("l4", texts[4]))}
+    model = op10_language.fit(seen)
+
+    class shared:  # noqa: N801
+        value = model
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    peak, got = _peak_mb(lambda: pa.Table.from_batches(op10_language._predict(shared)(iter([batch]))).to_pydict())
+    assert got["doc_id"] == [*range(len(texts))] and peak < 50
+    for text, lang, bits in zip(texts, got["lang_pred"], got["bits_per_byte"], strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        whole = model.lengths(op10_language.grams(raw, np.array([0, len(raw)]))[0]).sum(0, dtype=np.float64)
+        assert lang == model.languages[whole.argmin()] and bits == pytest.approx(whole.min() / len(raw))
+
+
+def test_word_hashes_hold_a_piece():
+    words = [b"w%d" % (i % 1000) for i in range(700_000)]
+    text = np.frombuffer(b" ".join(words), np.uint8)
+    data, first, last = op6_jaccard.word_spans(text, np.array([0, len(text)]))
+    op6_jaccard._powers.clear()
+    peak, got = _peak_mb(lambda: op6_jaccard.span_hashes(data, first, last))
+    assert (got == np.resize(got[:1000], len(got))).all() and len(set(got[:1000].tolist())) == 1000
+    assert peak < 40  # the hashes, and those before they are mixed, are most of it
+
+
+def test_slices_release_what_was_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1), raising=False)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["abc"] * 10)], ["text"])] * 3
+    assert sum(b.num_rows for b in common.slices(iter(batches), "text", 9)) == 30 and calls == [1]
+
+
 def test_language_predictions(spark):
     en, fr = (lambda: " ".join(rng.choice(["the", "thing", "nation", "with"]) for _ in range(30))), (lambda: " ".join(rng.choice(["le", "été", "ment", "aux"]) for _ in range(30)))
     rows = [(i, [en, fr][i % 2](), ["en", "fr"][i % 2]) for i in range(200)] + [(900, None, "en"), (901, "", None), (902, "123 !?", "fr"), (903, "the thing", None), (1, "x", "en")]
