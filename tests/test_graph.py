@@ -189,3 +189,23 @@ def test_scanner_survives_anything():
     for lang in ("ts", "rust", "go", "java", "python"):
         for source in ("", "}{", "fn", "class", "'\"`/*", "function f( {" * 50):
             extract.extract_file("x", source, lang)
+
+
+def _overlap_rows():
+    rng = random.Random(9)
+    hunks = [(i // 2 if i < 20 else i, i % 3, a, a + rng.randrange(-1, 90)) for i in range(60) for a in [rng.randrange(300)]]
+    spans = [(i // 2 if i < 10 else i, i % 3, a, a + rng.randrange(120)) for i in range(40) for a in [rng.randrange(300)]]
+    return hunks, spans
+
+
+def _ranges(spark, hunks, spans):
+    return spark.createDataFrame(hunks, "hunk_id int, file_id int, a int, b int"), spark.createDataFrame(spans, "id int, file_id int, start int, end int")
+
+
+def test_overlapping_pairs_come_once_without_a_shuffle_of_pairs(spark):
+    hunks, spans = _overlap_rows()
+    for h, s in ((hunks, spans), (hunks[20:], spans[10:])):
+        got = sorted(map(tuple, graph.overlapping(*_ranges(spark, h, s)).collect()))
+        assert got == sorted({(x[0], y[0]) for x in h for y in s if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]})
+    plan = graph.overlapping(*_ranges(spark, hunks[20:], spans[10:]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
