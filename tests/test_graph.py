@@ -209,3 +209,20 @@ def test_overlapping_pairs_come_once_without_a_shuffle_of_pairs(spark):
         assert got == sorted({(x[0], y[0]) for x in h for y in s if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]})
     plan = graph.overlapping(*_ranges(spark, hunks[20:], spans[10:]))._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan
+
+
+def test_smallest_enclosing_meets_spans_once_a_line(spark):
+    rng = random.Random(5)
+    points = [(i % 90, i % 3, rng.randrange(-5, 320)) for i in range(100)]
+    _, spans = _overlap_rows()
+    spans += [(100 + i, f, a, b) for i, (_, f, a, b) in enumerate(spans[:9])]
+    df = graph.smallest_enclosing(spark.createDataFrame(points, "point_id int, file_id int, line int"), _ranges(spark, [], spans)[1])
+    want = {}
+    for p, f, line in points:
+        for i, g, a, b in spans:
+            if f == g and a <= line <= b:
+                want[p] = min(want.get(p, (b - a, i)), (b - a, i))
+    assert {r.point_id: r.id for r in df.collect()} == {p: i for p, (_, i) in want.items()}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan[plan.rindex("Join Inner, ") :]  # the join on slots, the deepest
+    assert lines.count("Aggregate") == 2  # distinct lines, equal spans
