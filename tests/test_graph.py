@@ -226,3 +226,10 @@ def test_smallest_enclosing_meets_spans_once_a_line(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     lines = plan[plan.rindex("Join Inner, ") :]  # the join on slots, the deepest
     assert lines.count("Aggregate") == 2  # distinct lines, equal spans
+
+
+def test_touched_makes_no_pairs(spark):
+    hunks, spans = _overlap_rows()
+    df = graph.touched(*_ranges(spark, hunks, spans))
+    assert sorted(r.id for r in df.collect()) == sorted({y[0] for x in hunks for y in spans if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]})
+    assert "Join LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
