@@ -233,3 +233,20 @@ def test_touched_makes_no_pairs(spark):
     df = graph.touched(*_ranges(spark, hunks, spans))
     assert sorted(r.id for r in df.collect()) == sorted({y[0] for x in hunks for y in spans if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]})
     assert "Join LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_processes_keep_bounded_rows_of_a_hub(spark, monkeypatch):
+    pairs = [(0, b) for b in range(1, 3000)] + [(b, 3000 + b) for b in range(1, 3000)] + [(5, 1), (5, 2), (5, 6)]
+    edges = spark.createDataFrame([(a, b, "calls", "probable" if b % 2 else "exact") for a, b in pairs] + [(0, 1, "calls", "exact")], "src int, dst int, kind string, tier string")
+    near = {}
+    for a, b in sorted(set(pairs), key=lambda e: (e[0], e[1] % 2 == 1 and e != (0, 1), e[1])):
+        near.setdefault(a, []).append(("", b))
+    groups = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: groups.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    rows = graph.processes(edges, spark.createDataFrame([(0, 9), (5, 3)], "id int, out_degree int"), most=5).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.process_id, r.step)):
+        got.setdefault(r.process_id, []).append(r.id)
+    assert [got[k] for k in sorted(got)] == [graph.walk(0, near), graph.walk(5, near)]
+    assert sum("WindowGroupLimit" in g or "row_number" in g for g in groups) == 6  # a level's callees are cut to those that can matter
