@@ -250,3 +250,17 @@ def test_processes_keep_bounded_rows_of_a_hub(spark, monkeypatch):
         got.setdefault(r.process_id, []).append(r.id)
     assert [got[k] for k in sorted(got)] == [graph.walk(0, near), graph.walk(5, near)]
     assert sum("WindowGroupLimit" in g or "row_number" in g for g in groups) == 6  # a level's callees are cut to those that can matter
+
+
+def test_change_impact_counts_processes_of_symbols_and_callers(spark):
+    hunks, spans = _ranges(spark, [(1, 1, 5, 6)], [(1, 1, 1, 9), (2, 2, 1, 9), (3, 3, 1, 9)])
+    edges = spark.createDataFrame([(2, 1, "calls", "exact"), (3, 2, "calls", "exact")], "src int, dst int, kind string, tier string")
+    members = spark.createDataFrame([(i, m) for i, m in enumerate([1, 1, 2, 2, 2, 1, 1, 2, 2, 3, 3])], "process_id int, id int")
+    got = graph.change_impact(hunks, spans, edges, members).first()
+    assert (got.n_symbols, got.n_callers, got.n_processes, got.risk) == (1, 1, 9, "HIGH")
+
+
+def test_change_impact_query_has_processes(spark, data):
+    from larkspur.queries import ORACLE_SQL, QUERIES
+
+    assert QUERIES["change_impact"](spark, data).first()["n_processes"] > 0 and "0::BIGINT AS n_processes" not in ORACLE_SQL["change_impact"]
