@@ -31,7 +31,11 @@ def postings(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
 
     Files are dealt out first: cutting takes far longer than moving the texts, of which a scan may have many in one task."""
     extractor = extractor or Extractor()
-    return indexable(files).select("path", "content").repartition("path").select("path", F.explode(extractor.grams(F.col("content"))).alias("gram"))
+    return _cut(indexable(files).select("path", "content").repartition("path"), extractor)
+
+
+def _cut(dealt: DataFrame, extractor: Extractor) -> DataFrame:
+    return extractor.of_files(dealt).select("path", F.explode("grams").alias("gram"))
 
 
 def posting_lists(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ cut with arrays over the bytes of an Arrow batch; the functions on single string
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bytes of texts that are cut at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def cover_trigrams(literal: str) -> list[str]:
@@ -190,6 +191,25 @@ def grams_udf(least: int = 3, most: int = 8, sparse: bool = False):
     return grams
 
 
+def grams_of_files(least: int = 3, most: int = 8, sparse: bool = False):
+    """For mapInArrow over (path, content): the path and distinct grams of each text, a batch for each piece of texts.
+
+    Only one piece's grams are held, however long a batch's texts are; memory that was freed goes back behind each batch."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, at = batch.column(0), batch.column(1).cast(pa.string()), 0
+            for piece in _pieces(texts, PIECE):
+                yield pa.RecordBatch.from_arrays([paths.slice(at, len(piece)), distinct_grams(piece, least, most, sparse)], ["path", "grams"])
+                at += len(piece)
+            del batch, paths, texts
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return cut
+
+
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text."""
     return grams_udf()(text)
@@ -210,5 +230,11 @@ class Extractor:
     def grams(self, text: Column) -> Column:
         return trigrams(text) if self.kind == "trigram" else grams_udf(self.least, self.most, True)(text)
 
+    def of_files(self, files):
+        """path, grams of files(path, content)."""
+        path = dict(files.dtypes)["path"]
+        sparse = self.kind == "sparse"
+        return files.select("path", "content").mapInArrow(grams_of_files(self.least, self.most, sparse), f"path {path}, grams array<string>")
+
     def cover(self, literal: str) -> list[str]:
         return cover_trigrams(literal) if self.kind == "trigram" else cover_sparse(literal, self.least, self.most)

@@ -137,3 +137,12 @@ def test_candidates_read_the_plan_only(files):
     plan = rx.plan_literal("openMenu")
     text = search.candidates(search.postings(files), plan, files)._jdf.queryExecution().optimizedPlan().toString()
     assert "IN (" in text or "INSET" in text
+
+
+def test_grams_of_files_come_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(grams, "PIECE", 100)
+    texts = ["abcdef " * 10, "x" * 300, "", None, "ghi jkl " * 9, "漢字かな" * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcdef")), pa.array(texts, pa.string())], ["path", "content"])
+    got = list(grams.grams_of_files(3, 8, True)(iter([batch])))
+    assert len(got) > 3 and [p for b in got for p in b.column(0).to_pylist()] == list("abcdef")
+    assert [sorted(g) for b in got for g in b.column(1).to_pylist()] == [sorted(set(grams.sparse_grams(t or ""))) for t in texts]
