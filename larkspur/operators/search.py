@@ -14,7 +14,7 @@ from larkspur.operators.lineage import shared_dir
 from larkspur.plans import regex as rx
 from larkspur.plans.grams import Extractor
 
-SNIFF, MOST_BYTES, LIMIT, MOST_LIMIT, SPREAD = 8192, 4 << 20, 100, 10_000, 64
+SNIFF, MOST_BYTES, LIMIT, MOST_LIMIT, SHARD = 8192, 4 << 20, 100, 10_000, 4 << 20
 
 
 # Index --------------------------------------------------------------------------------------------------------------------
@@ -44,12 +44,15 @@ def posting_lists(files: DataFrame, extractor: Extractor | None = None) -> DataF
 
 
 def write_index(files: DataFrame, path: str, extractor: Extractor | None = None, partitions: int | None = None) -> None:
-    """An index as Parquet: rows dealt by gram (a frequent one in SPREAD parts) and sorted by it, so a lookup reads few row
-    groups; and its metadata. Texts are cut once: dealing by ranges would cut them a second time to sample."""
-    rows, part = postings(files, extractor), F.pmod(F.xxhash64("path"), F.lit(SPREAD))
-    dealt = rows.repartition(partitions, "gram", part) if partitions else rows.repartition(F.col("gram"), part)
-    dealt.sortWithinPartitions("gram", "path").write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/postings")
-    meta = files.agg(F.count("*").alias("files")).select("files", F.lit((extractor or Extractor()).id).alias("extractor"), F.lit(1).alias("version"))
+    """An index as Parquet, and its metadata. Files are dealt out in shards of about SHARD bytes of text, and each one's
+    postings are sorted by gram where they are cut: the texts are shuffled once, and postings, of which there are far more, not
+    at all. A shard's paths are few enough for Parquet's dictionary; a lookup reads the pages of its grams in every shard."""
+    extractor, rows = extractor or Extractor(), indexable(files).select("path", "content")
+    size = rows.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
+    shards = partitions or max(1, -(-size // SHARD))
+    own = _cut(rows.repartition(shards, "path"), extractor).select("gram", "path")
+    own.sortWithinPartitions("gram", "path").write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/postings")
+    meta = files.agg(F.count("*").alias("files")).select("files", F.lit(extractor.id).alias("extractor"), F.lit(1).alias("version"))
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 

@@ -139,6 +139,22 @@ def test_candidates_read_the_plan_only(files):
     assert "IN (" in text or "INSET" in text
 
 
+from pyspark.sql import functions as F  # noqa: E402
+
+
+def test_index_shuffles_texts_and_no_postings(spark, files, tmp_path, monkeypatch):
+    plans = []
+    real = search._cut
+    monkeypatch.setattr(search, "_cut", lambda dealt, ex: plans.append(dealt) or real(dealt, ex))
+    monkeypatch.setattr(search, "SHARD", 1 << 10)
+    search.write_index(files, str(tmp_path / "ix"))
+    index = search.open_index(spark, str(tmp_path / "ix"))
+    assert sorted(map(tuple, index.select("gram", "path").collect())) == sorted(map(tuple, search.postings(files).select("gram", "path").collect()))
+    per_file = index.withColumn("f", F.input_file_name()).groupBy("f").agg(F.collect_set("path").alias("p")).collect()
+    assert len(per_file) > 3 and sum(len(r.p) for r in per_file) == len({p for r in per_file for p in r.p})  # a file's postings lie in one shard
+    assert plans[0].columns == ["path", "content"]
+
+
 def test_grams_of_files_come_piece_by_piece(monkeypatch):
     monkeypatch.setattr(grams, "PIECE", 100)
     texts = ["abcdef " * 10, "x" * 300, "", None, "ghi jkl " * 9, "漢字かな" * 20]
