@@ -264,3 +264,16 @@ def test_change_impact_query_has_processes(spark, data):
     from larkspur.queries import ORACLE_SQL, QUERIES
 
     assert QUERIES["change_impact"](spark, data).first()["n_processes"] > 0 and "0::BIGINT AS n_processes" not in ORACLE_SQL["change_impact"]
+
+
+def test_trace_takes_the_smallest_path_and_reads_the_calls_once(spark, tmp_path):
+    pairs = [(0, 2), (0, 1), (0, 2), (1, 5), (2, 4), (2, 5), (5, 9), (4, 9), (9, 0), (1, 6), (6, 7)]
+    edges = spark.createDataFrame([(a, b, "calls", "exact") for a, b in pairs], "src int, dst int, kind string, tier string")
+    reads = spark.sparkContext.accumulator(0)
+    counted = spark.createDataFrame(edges.rdd.map(lambda r: reads.add(1) or r), edges.schema)
+    got = graph.trace(counted, 0, 9).first()
+    assert (got.found, got.depth, list(got.path), got.furthest) == (True, 3, [0, 1, 5, 9], None)
+    assert reads.value == len(pairs)
+    got = graph.trace(edges, 0, 77).first()
+    assert (got.found, got.depth, got.path, got.furthest) == (False, None, None, 7)
+    assert graph.trace(edges, 7, 1).first().furthest is None
