@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as fn
 from larkspur.operators.lineage import shared_dir
+from larkspur.plans import grams
 from larkspur.plans import regex as rx
 from larkspur.plans.grams import Extractor
 
-SNIFF, MOST_BYTES, LIMIT, MOST_LIMIT, SHARD = 8192, 4 << 20, 100, 10_000, 4 << 20
+SNIFF, MOST_BYTES, LIMIT, MOST_LIMIT, SHARD, VERSION = 8192, 4 << 20, 100, 10_000, grams.SHARD, 2
 
 
 # Index --------------------------------------------------------------------------------------------------------------------
@@ -31,11 +32,11 @@ def postings(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
 
     Files are dealt out first: cutting takes far longer than moving the texts, of which a scan may have many in one task."""
     extractor = extractor or Extractor()
-    return _cut(indexable(files).select("path", "content").repartition("path"), extractor)
+    return extractor.of_files(indexable(files).select("path", "content").repartition("path")).select("path", F.explode("grams").alias("gram"))
 
 
 def _cut(dealt: DataFrame, extractor: Extractor) -> DataFrame:
-    return extractor.of_files(dealt).select("path", F.explode("grams").alias("gram"))
+    return extractor.lists_of_files(dealt)
 
 
 def posting_lists(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
@@ -45,23 +46,26 @@ def posting_lists(files: DataFrame, extractor: Extractor | None = None) -> DataF
 
 def write_index(files: DataFrame, path: str, extractor: Extractor | None = None, partitions: int | None = None) -> None:
     """An index as Parquet, and its metadata. Files are dealt out in shards of about SHARD bytes of text, and each one's
-    postings are sorted by gram where they are cut: the texts are shuffled once, and postings, of which there are far more, not
-    at all. A shard's paths are few enough for Parquet's dictionary; a lookup reads the pages of its grams in every shard."""
+    lists of paths are made in order of grams where its texts are cut: the texts are shuffled once, and postings, of which there
+    are far more, neither shuffled nor sorted as rows. A shard's paths are few enough for Parquet's dictionary; a lookup reads
+    the pages of its grams in every shard."""
     extractor, rows = extractor or Extractor(), indexable(files).select("path", "content")
     size = rows.agg(F.sum(F.octet_length("content").cast("long"))).first()[0] or 0
     shards = partitions or max(1, -(-size // SHARD))
-    own = _cut(rows.repartition(shards, "path"), extractor).select("gram", "path")
-    own.sortWithinPartitions("gram", "path").write.mode("overwrite").option("parquet.bloom.filter.enabled#gram", "true").parquet(f"{path}/postings")
-    meta = files.agg(F.count("*").alias("files")).select("files", F.lit(extractor.id).alias("extractor"), F.lit(1).alias("version"))
+    own = _cut(rows.repartition(shards, "path"), extractor)
+    pages = {"parquet.page.row.count.limit": 256, "parquet.bloom.filter.enabled#gram": True, "parquet.bloom.filter.max.bytes": 1 << 15}
+    own.write.mode("overwrite").options(**pages).parquet(f"{path}/postings")
+    meta = files.agg(F.count("*").alias("files")).select("files", F.lit(extractor.id).alias("extractor"), F.lit(VERSION).alias("version"))
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def open_index(spark: SparkSession, path: str, extractor: Extractor | None = None) -> DataFrame:
     """The postings of a written index; ValueError if another extractor or version wrote it."""
     meta = spark.read.parquet(f"{path}/meta").first()
-    if meta["extractor"] != (extractor or Extractor()).id or meta["version"] != 1:
+    if meta["extractor"] != (extractor or Extractor()).id or meta["version"] != VERSION:
         raise ValueError(f"the index is of {meta['extractor']}, version {meta['version']}")
-    return spark.read.schema("gram STRING, path STRING").parquet(f"{path}/postings")
+    lists = spark.read.schema("gram STRING, paths ARRAY<STRING>").parquet(f"{path}/postings")
+    return lists.select("gram", F.explode("paths").alias("path"))
 
 
 def stored_index(files: DataFrame, extractor: Extractor | None = None) -> DataFrame:
@@ -72,7 +76,7 @@ def stored_index(files: DataFrame, extractor: Extractor | None = None) -> DataFr
     parts = sorted(files.inputFiles())
     status = [(p, s.getLen(), s.getModificationTime()) for p in parts for s in [fs_path(p).getFileSystem(conf).getFileStatus(fs_path(p))]]
     mark = hashlib.sha256(repr((status, files.columns)).encode()).hexdigest()[:24]
-    home = f"{shared_dir(spark)}/larkspur-index/{extractor.id}-{mark}"
+    home = f"{shared_dir(spark)}/larkspur-index/{extractor.id}-{VERSION}-{mark}"
     fs = fs_path(home).getFileSystem(conf)
     if not fs.exists(fs_path(f"{home}/meta/_SUCCESS")):
         aside = f"{home}-{uuid.uuid4().hex}"

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bytes of texts that are cut at once.
-PIECE = 1 << 18
+#: Bytes of texts that are cut at once; that an inverted list is made of; paths in one row of it, and in a batch of rows.
+PIECE, SHARD, LIST, BATCH = 1 << 18, 4 << 20, 1 << 12, 1 << 17
 
 
 def cover_trigrams(literal: str) -> list[str]:
@@ -210,6 +211,97 @@ def grams_of_files(least: int = 3, most: int = 8, sparse: bool = False):
     return cut
 
 
+def _runs(key: np.ndarray) -> np.ndarray:
+    """Where a new value begins in a sorted array."""
+    new = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _inverted_trigrams(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
+    """As inverted(), by one sort of numbers of three characters and a text; None if they don't fit in 64 bits."""
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    begin, code, at = _characters(raw, off - off[0])
+    high = np.flatnonzero(code > 127)
+    other, place = np.unique(code[high].byteswap(), return_inverse=True)  # the first byte leads: in order of UTF-8
+    ascii_ = np.flatnonzero(np.bincount(code[code < 128], minlength=128))
+    per, room = max(1, (len(ascii_) + len(other)).bit_length()), len(texts).bit_length()
+    if 3 * per + room > 64:
+        return None
+    number = np.zeros(128, np.uint64)
+    number[ascii_] = np.arange(len(ascii_))
+    ids = number[code & np.uint32(127)]
+    ids[high] = place.astype(np.uint64) + np.uint64(len(ascii_))
+    owner = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(at))
+    per, room = np.uint64(per), np.uint64(room)
+    key = ((ids[:-2] << per | ids[1:-1]) << per | ids[2:]) << room | owner[2:]
+    key = key[owner[:-2] == owner[2:]]  # within a text
+    key.sort()
+    key = key[_runs(key)]
+    three, row = key >> room, (key & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+    first = _runs(three)
+    three, mask = three[first], (np.uint64(1) << per) - np.uint64(1)
+    spelt = np.stack([three >> per + per, three >> per & mask, three & mask], 1).astype(np.int64)
+    letters = np.concatenate([ascii_.astype(np.uint32), other.byteswap()]).astype("<u4").view(np.uint8).reshape(-1, 4)
+    size = np.concatenate([np.ones(len(ascii_), np.int64), (letters[len(ascii_) :] != 0).sum(1)])[spelt]
+    data = letters[spelt][np.arange(4) < size[:, :, None]]
+    offsets = np.concatenate([[0], np.cumsum(size.sum(1))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())), first, row
+
+
+def inverted(texts: pa.Array, least: int = 3, most: int = 8, sparse: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the grams of all texts in order of UTF-8, where each one's rows begin, rows): a gram's rows are the texts that hold it."""
+    if not sparse and (out := _inverted_trigrams(texts)):
+        return out
+    cut = [distinct_grams(piece, least, most, sparse) for piece in _pieces(texts, PIECE)]
+    lists = pa.concat_arrays(cut) if cut else pa.array([], pa.list_(pa.string()))
+    owner = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    coded = lists.values.dictionary_encode()
+    order = np.asarray(pc.sort_indices(coded.dictionary.cast(pa.binary())))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    rank = rank[np.asarray(coded.indices)]
+    by = np.lexsort((owner, rank))
+    return coded.dictionary.take(pa.array(order)), _runs(rank[by]), owner[by]
+
+
+def lists_of_files(least: int = 3, most: int = 8, sparse: bool = False):
+    """For mapInArrow over (path, content): gram, paths, in order of grams for every SHARD bytes or so of texts.
+
+    Spark then sees a row for LIST paths of a gram in place of one for each of them."""
+
+    def invert(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, texts = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+        values, first, row = inverted(texts, least, most, sparse)
+        begin = np.union1d(first, np.arange(0, len(row), LIST))
+        gram = np.searchsorted(first, begin, "right") - 1
+        begin = np.append(begin, len(row))
+        for a in range(0, len(row), BATCH):  # a multiple of LIST, so a row begins there
+            i, j = np.searchsorted(begin, [a, min(a + BATCH, len(row))])
+            lists = pa.ListArray.from_arrays(pa.array(begin[i : j + 1] - a, pa.int32()), paths.take(pa.array(row[a : begin[j]])))
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(gram[i:j])), lists], ["gram", "paths"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            texts, at = batch.column(1).cast(pa.string()), 0
+            for piece in _pieces(texts, PIECE):
+                held.append(pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(piece)), piece], ["path", "content"]))
+                at, size = at + len(piece), size + held[-1].column(1).nbytes
+                if size >= 2 * SHARD:  # shards are of SHARD bytes, some more, some less
+                    yield from invert(held)
+                    held, size = [], 0
+        if held:
+            yield from invert(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return cut
+
+
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of a text."""
     return grams_udf()(text)
@@ -236,5 +328,11 @@ class Extractor:
         sparse = self.kind == "sparse"
         return files.select("path", "content").mapInArrow(grams_of_files(self.least, self.most, sparse), f"path {path}, grams array<string>")
 
+    def lists_of_files(self, files):
+        """gram, paths of files(path, content): a partition's files by gram; a gram may have several rows."""
+        path = dict(files.dtypes)["path"]
+        cut = lists_of_files(self.least, self.most, self.kind == "sparse")
+        return files.select("path", "content").mapInArrow(cut, f"gram string, paths array<{path}>")
+
     def cover(self, literal: str) -> list[str]:
         return cover_trigrams(literal) if self.kind == "trigram" else cover_sparse(literal, self.least, self.most)

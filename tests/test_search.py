@@ -162,3 +162,40 @@ def test_grams_of_files_come_piece_by_piece(monkeypatch):
     got = list(grams.grams_of_files(3, 8, True)(iter([batch])))
     assert len(got) > 3 and [p for b in got for p in b.column(0).to_pylist()] == list("abcdef")
     assert [sorted(g) for b in got for g in b.column(1).to_pylist()] == [sorted(set(grams.sparse_grams(t or ""))) for t in texts]
+
+
+def test_index_holds_lists_of_paths(spark, files, tmp_path):
+    """A row for each posting took most of the time of writing an index."""
+    search.write_index(files, str(tmp_path / "ix"), partitions=2)
+    rows = spark.read.parquet(str(tmp_path / "ix" / "postings")).withColumn("f", F.input_file_name())
+    assert rows.count() == rows.select("f", "gram").distinct().count() < search.open_index(spark, str(tmp_path / "ix")).count() / 4
+    for part in (tmp_path / "ix" / "postings").glob("*.parquet"):
+        held = [r.gram.encode() for r in spark.read.parquet(str(part)).coalesce(1).collect()]
+        assert held == sorted(held)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("ab cdeéß漢😀\0", max_size=30)), max_size=6), st.sampled_from(["quick", "sparse", "many characters"]))
+def test_inverted_lists_are_the_grams_of_texts(texts, way):
+    ex, want = grams.Extractor("sparse" if way == "sparse" else "trigram"), {}
+    for i, t in enumerate(texts):
+        for g in gram_set(t or "", ex):
+            want.setdefault(g, []).append(i)
+    with pytest.MonkeyPatch.context() as patch:
+        if way == "many characters":  # more than 64 bits have room for
+            patch.setattr(grams, "_inverted_trigrams", lambda texts: None)
+        values, first, row = grams.inverted(pa.array(["skipped", *texts], pa.string()).slice(1), sparse=way == "sparse")
+    ends = [*first.tolist()[1:], len(row)]
+    assert list(zip(values.to_pylist(), [row[a:b].tolist() for a, b in zip(first, ends)])) == sorted(want.items(), key=lambda x: x[0].encode())
+
+
+def test_inverted_lists_come_in_bounded_rows_and_batches(monkeypatch):
+    for name, most in (("SHARD", 200), ("LIST", 4), ("BATCH", 16)):
+        monkeypatch.setattr(grams, name, most)
+    texts = [f"abcdef {i}" for i in range(90)] + [None, "", "漢字かな"]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{i}" for i in range(93)]), pa.array(texts, pa.string())], ["path", "content"])
+    monkeypatch.setattr(grams, "PIECE", 100)
+    got = list(grams.lists_of_files()(iter([batch.slice(0, 50), batch.slice(50)])))
+    rows = [(g, p) for b in got for g, ps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for p in ps]
+    assert sorted(rows) == sorted((g, f"p{i}") for i, t in enumerate(texts) for g in {(t or "")[k : k + 3] for k in range(len(t or "") - 2)})
+    assert max(len(ps) for b in got for ps in b.column(1).to_pylist()) <= 4 and max(sum(map(len, b.column(1).to_pylist())) for b in got) <= 16
