@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import sys
 import tracemalloc
 
 import brute
@@ -1026,3 +1027,20 @@ def test_arrow_buffers():
     assert [raw[a:b].tobytes() for a, b in zip(off, off[1:])] == [b"", b"", b"xyz"] and valid.tolist() == [False, True, True]
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 1, 9, 0, 2)])], ["t"])
     assert [b.num_rows for b in slices(iter([batch]), "t", 6)] == [2, 1, 2]
+
+
+def test_coder_steps_stay_out_of_python():
+    """A step of the coder calls no Python function: one call for each decision took a good part of its time."""
+    code, predictors = lm_model()
+
+    def calls(n):
+        seen, raw = [], np.frombuffer(b"abc de " * n, np.uint8)
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event == "call" else None)
+        try:
+            op2_mixing_lm.text_bits(raw, np.array([0, len(raw)]), code, predictors)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    calls(100)
+    assert calls(400) < calls(100) + 300
